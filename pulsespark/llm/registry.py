@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLE_SQL = {
