@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op7_packing
+from .sharding import OP9_SQL, op9_sharding
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
+    "op9_sharding": op9_sharding,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op9_sharding": OP9_SQL,
 }
