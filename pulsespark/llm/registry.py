@@ -6,8 +6,10 @@ from .bpe import op2_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op7_packing
 from .sharding import OP9_SQL, op9_sharding
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
