@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .minhash import OP5_SQL, op5_minhash
 from .packing import op7_packing
 from .sharding import OP9_SQL, op9_sharding
 from .toxicity import op1_toxicity
@@ -11,11 +12,13 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op5_minhash": op5_minhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL = {
+    "op5_minhash": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_sharding": OP9_SQL,
 }
