@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .minhash import OP5_SQL, op5_minhash
 from .packing import op7_packing
@@ -16,9 +17,11 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL = {
     "op5_minhash": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_sharding": OP9_SQL,
+    "op10_embedding_dedup": OP10_SQL,
 }
