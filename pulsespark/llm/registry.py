@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_bpe
 from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_extract import op8_html
 from .minhash import OP5_SQL, op5_minhash
 from .packing import op7_packing
 from .sharding import OP9_SQL, op9_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_html": op8_html,
     "op9_sharding": op9_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
