@@ -8,12 +8,14 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_extract import op8_html
 from .minhash import OP5_SQL, op5_minhash
 from .packing import op7_packing
+from .pii import op3_pii
 from .sharding import OP9_SQL, op9_sharding
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op5_minhash": op5_minhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
