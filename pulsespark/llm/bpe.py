@@ -11,8 +11,10 @@ before it keeps its states, so each shared prefix is worked out once.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,12 +27,12 @@ from .common import body, table
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space between two visible characters starts a pre-token, so texts can be cut there.
-CUT = regex.compile(r"(?<=\S) (?=\S)")
-SPACED = regex.compile(r" \s|\s |^ | $")
+#: A space between two visible characters starts a pre-token and a newline there is one, so texts can be cut at either.
+CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+SPACED = re.compile(r"\s\s|^\s|\s\Z")
 #: Marks before stretches; lone surrogates, which no text in UTF-8 holds.
 FIRST, SPECIAL = "\ud800", "\udfff"
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 128 << 20
 LONG = 256
 WINDOW = 6
 
@@ -148,10 +150,11 @@ class TextEncoder:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.v.specials, key=len, reverse=True))) if self.v.specials else None
         self.make = make
         self.known: dict[str, object] = {}
+        self.aged: dict[str, object] = {}
         self.held = 0
 
     def _cut(self, text: str) -> list[str]:
-        """Stretches; all but the first stand for themselves after a space.  The first, and specials, bear a mark."""
+        """Stretches; all but the first and those that begin with a newline follow a space.  The first, and specials, bear a mark."""
         if self.special and self.special.search(text):
             out, at = [], 0
             for m in self.special.finditer(text):
@@ -164,30 +167,43 @@ class TextEncoder:
     def _plain(text: str) -> list[str]:
         if not text:
             return []
-        out = CUT.split(text) if SPACED.search(text) else text.split(" ")
+        out = CUT.split(text) if SPACED.search(text) else text.replace("\n", " \n").split(" ")
         out[0] = FIRST + out[0]
         return out
 
     def encode(self, texts: list[str]) -> list[list]:
         """For each text what make gave for each of its stretches, in order."""
-        cut, known = [self._cut(t) for t in texts], self.known
-        fresh = {s for row in cut for s in row if s not in known}
-        words, lone = {}, {}
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the caches are large
+        try:
+            cut, known = [self._cut(t) for t in texts], self.known
+            fresh = set().union(*cut).difference(known)
+            if fresh:
+                aged = {s: self.aged[s] for s in fresh if s in self.aged}
+                known |= aged
+                new = self._encode_fresh(fresh.difference(aged))
+                known |= new
+                self.held += 340 * (len(aged) + len(new)) + 6 * sum(map(len, new))
+            out = [list(map(known.__getitem__, row)) for row in cut]
+            for s in [s for s in fresh if len(s) > LONG]:
+                del known[s]
+            if self.held > CACHE_BYTES:  # what is met again within one more generation stays
+                self.aged, self.known, self.held = known, {}, 0
+            return out
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_fresh(self, fresh: set[str]) -> dict[str, object]:
+        out, words = {}, {}
         for s in fresh:
             if s.startswith(SPECIAL):
-                lone[s] = self.make((self.v.specials[s[len(SPECIAL) :]],))
+                out[s] = self.make((self.v.specials[s[len(SPECIAL) :]],))
             else:
-                words[s] = [w.encode() for w in self.split.findall(s[len(FIRST) :] if s.startswith(FIRST) else " " + s)]
-        ids = dict(self.trie.encode_words({w for ws in words.values() for w in ws}))
-        own = lone | {s: self.make([i for w in ws for i in ids[w]]) for s, ws in words.items()}
-        known |= own
-        out = [[known[s] for s in row] for row in cut]
-        self.held += sum(300 + 12 * len(s) for s in own)
-        for s in own:
-            if len(s) > LONG:
-                del known[s]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+                words[s] = self.split.findall(s[len(FIRST) :] if s[0] == FIRST else s if s[0] == "\n" else " " + s)
+        ids = {w.decode(): i for w, i in self.trie.encode_words({w.encode() for w in set().union(*words.values())})}
+        for s, ws in words.items():
+            out[s] = self.make(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]])
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

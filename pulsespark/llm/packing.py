@@ -9,8 +9,11 @@ pieces of their length.
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,8 @@ from .common import body, staged, table
 
 CAPACITY = 4096
 SUBS = 64
-CACHE_BYTES = 96 << 20
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHE_BYTES = 128 << 20
 _PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long"
 
 
@@ -43,27 +47,40 @@ class StretchEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
         self.held = 0
 
-    def encode(self, text: str) -> bytes:
-        stretches, known = text.encode().split(), self.known
-        fresh = {s for s in stretches if s not in known}
-        if not fresh:
-            return b"".join(map(known.__getitem__, stretches))
-        fresh = list(fresh)
-        own = {}
-        for s, e in zip(fresh, self.tokenizer.encode_batch([s.decode() for s in fresh], add_special_tokens=False)):
-            own[s] = np.array(e.ids, "<u4").tobytes()
-        known |= own
-        out = b"".join(map(known.__getitem__, stretches))
-        for s, v in own.items():
-            if len(s) > 256:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the caches are large
+        try:
+            # the normaliser lowers letters anyhow; only specials, which open with "<|", care about case
+            cut, known = [t.encode().split() if "<|" in t else t.encode().lower().split() for t in texts], self.known
+            fresh = set().union(*cut).difference(known)
+            if fresh:
+                aged = {s: self.aged[s] for s in fresh if s in self.aged}
+                known |= aged
+                self._encode_fresh(fresh.difference(aged))
+                self.held += 130 * len(fresh) + 9 * sum(map(len, fresh))
+            yield from [b"".join(map(known.__getitem__, c)) for c in cut]
+            for s in [s for s in fresh if len(s) > 256]:
                 del known[s]
-            else:
-                self.held += 150 + len(s) + len(v)
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        return out
+            if self.held > CACHE_BYTES:  # what is met again within one more generation stays
+                self.aged, self.known, self.held = known, {}, 0
+        finally:
+            if collecting:
+                gc.enable()
+
+
+    def _encode_fresh(self, fresh: set[bytes]) -> None:
+        """Words end where marks begin, so the marks at a stretch's end are encoded apart and its head but once."""
+        known = self.known
+        ends = {s: (head, s[len(head) :]) for s in fresh if s[-1] in MARKS and b"<|" not in s and (head := s.rstrip(MARKS))}
+        left = list({part for s in fresh for part in ends.get(s, (s,))}.difference(known))
+        for s, e in zip(left, self.tokenizer.encode_batch_fast([s.decode() for s in left], add_special_tokens=False)):
+            known[s] = array("I", e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, "<u4").tobytes()
+        for s, (head, tail) in ends.items():
+            known[s] = known[head] + known[tail]
 
 
 _kept: dict[str, StretchEncoder] = {}
@@ -86,12 +103,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
         enc = _of_worker(definition)
         for b in batches:
             rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(text.as_py()) + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((key, n, start, len(part) // 4, zlib.crc32(part)))
+            keys, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            while at < len(keys):  # runs of bounded text
+                until, held = at, 0
+                while until < len(keys) and held < 2_000_000:
+                    held += len(texts[until])
+                    until += 1
+                for key, ids in zip(keys[at:until], enc.encode(texts[at:until])):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        rows.append((key, n, start, len(part) // 4, zlib.crc32(part)))
+                at = until
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "doc_tokens", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, _PIECES)

@@ -277,3 +277,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(_shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with the spans of its text redacted, all columns kept, and n_chars, where there is one, made the new length.
+
+    Null texts stay null, and rows without spans are as they were.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
+    found = find(packed).select(F.col("doc_id").alias("row"), F.size("spans").alias("n"), redacted(F.col("text"), F.col("spans")).alias("new"))
+    own = lambda c: F.col("row")[c]
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return found.select(*(F.when(F.col("n") > 0, changed[c]).otherwise(own(c)).alias(c) if c in changed else own(c).alias(c) for c in docs.columns))

@@ -164,6 +164,20 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def filtered(docs: DataFrame, machine: Machine, bound: float = 0.5) -> DataFrame:
+    """The rows of docs that score below bound, all columns kept; texts are scored where they lie, without a shuffle."""
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, terms = Machine(*model.value), Terms()
+        for b in batches:
+            yield b.filter(pa.array([m.score(terms.of(t.as_py() or "")) < bound for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
