@@ -6,6 +6,7 @@ from .bpe import op2_bpe
 from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_extract import op8_html
+from .lm import op4_lm
 from .minhash import OP5_SQL, op5_minhash
 from .packing import op7_packing
 from .pii import op3_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op4_lm": op4_lm,
     "op5_minhash": op5_minhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
