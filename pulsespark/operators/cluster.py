@@ -75,7 +75,7 @@ def leader_clusters(pool: DataFrame, affinity: float = 0.7, min_count: int = 3,
         clusters.sort(key=lambda c: -c.count)
         return pd.DataFrame([(i + 1, c.count, c.center(), sorted(c.tags, key=lambda t: -c.tags[t])) for i, c in enumerate(clusters)], columns=["rank", "count", "center", "tags"])
 
-    return pool.groupBy(F.lit(1)).applyInPandas(grow, "rank long, count long, center string, tags array<string>")
+    return pool.select("seq", "tag", "vec", F.lit(1).alias("one")).groupBy("one").applyInPandas(grow, "rank long, count long, center string, tags array<string>")
 
 
 def _merge(clusters: list[_Cluster], vectors: dict[str, np.ndarray], affinity: float) -> list[_Cluster]:
@@ -114,14 +114,23 @@ def classify(tags: DataFrame, clusters: DataFrame, key: str = "doc_id", least: f
     return chosen.withColumn("clusters", F.when(F.size("clusters") > 0, F.col("clusters")).otherwise(others))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, cells: int = 0) -> DataFrame:
+def within(points: DataFrame, eps: float) -> DataFrame:
+    """(id, other) of points(id, vec) at most eps apart, each with itself: a point meets the points of its own and the
+    neighbouring cells of a grid over the first two coordinates, and the distance decides."""
+    cell = lambda i: F.floor(F.coalesce(F.get("vec", F.lit(i)), F.lit(0.0)) / eps)
+    a = points.select("id", "vec", cell(0).alias("x"), cell(1).alias("y"))
+    around = F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    b = a.select(F.col("id").alias("other"), F.col("vec").alias("w"), F.explode(around).alias("c")).select("other", "w", "c.x", "c.y")
+    return a.join(b, ["x", "y"]).where(l2("vec", "w") <= eps).select("id", "other")
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(id, label) of points(id, vec): density clusters by Euclidean distance, -1 for noise.
 
     Labels follow the clusters' smallest core id; a border point takes the first cluster that reaches it.  Labels spread by
     minima along the links of core points, each round checkpointed, until none changes.
     """
-    a = points.select("id", "vec")
-    near = a.join(a.select(F.col("id").alias("other"), F.col("vec").alias("w")), l2("vec", "w") <= eps).select("id", "other").checkpoint()
+    near = within(points, eps).checkpoint()
     core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
     links = near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other").select("id", "other").checkpoint()
     label = core.select("id", F.col("id").alias("label"))

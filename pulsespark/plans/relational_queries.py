@@ -11,8 +11,6 @@ from ..operators import series as S
 from ..sources import sinks
 from ..sources.tables import table
 
-BEFORE = "1995-04-01"
-
 
 def bridge(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("track_id"))
@@ -46,14 +44,12 @@ def _flatten(spark, d):
 
 
 def _tagged(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderdate") < BEFORE)
     flat = nested(spark, d).select("id", "tags", F.col("creator.userId").alias("user_id"), F.transform("tracks", lambda t: t["id"]).alias("tracks"))
-    return R.tagged_tracks(flat.join(o.select(F.col("o_orderkey").cast("string").alias("id")), "id", "left_semi"))
+    return R.tagged_tracks(flat)
 
 
 def _partners(spark, d):
-    few = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("track_id"))
-    return R.co_playlist_partners(bridge(spark, d), few)
+    return R.co_playlist_partners(bridge(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("track_id")))
 
 
 def _genres(spark, d):
@@ -108,17 +104,15 @@ QUERIES = {
     "tuple_items": lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(R.tuple_items(F.concat(F.lit("('"), "n_name", F.lit("', 'x"), "n_nationkey", F.lit("')"))), "+").alias("items")),
     "review_projection": lambda s, d: table(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("size"), F.md5(F.replace("text", F.lit("\n"), F.lit(" ")).cast("binary")).alias("flat_md5")),
 }
-_O = f"SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '{BEFORE}'"
 ORACLE_SQL = {
     "playlist_flatten": """SELECT 'playlist' AS kind, o_orderkey::VARCHAR AS id, o_orderpriority AS name, least(count(*), 3) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL
 UNION ALL SELECT 'track', p_partkey::VARCHAR, p_name, p_size::BIGINT FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 UNION ALL SELECT DISTINCT 'album', 'a' || l_suppkey, l_suppkey::VARCHAR, 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
 UNION ALL SELECT DISTINCT 'artist', l_suppkey::VARCHAR, 's' || l_suppkey, 0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""",
-    "tagged_tracks": f"""SELECT DISTINCT l.l_partkey::VARCHAR AS track_id, t.p_brand AS tag, o_custkey AS user_id, o_orderkey::VARCHAR AS playlist_id
-FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN lineitem m ON m.l_orderkey = o_orderkey JOIN part t ON t.p_partkey = m.l_partkey WHERE o_orderkey IN ({_O})""",
+    "tagged_tracks": """SELECT DISTINCT l.l_partkey::VARCHAR AS track_id, t.p_brand AS tag, o_custkey AS user_id, o_orderkey::VARCHAR AS playlist_id
+FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN lineitem m ON m.l_orderkey = o_orderkey JOIN part t ON t.p_partkey = m.l_partkey""",
     "track_playlists": "SELECT l_partkey AS track_id, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS playlist_ids FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY 1",
-    "co_playlist_partners": """WITH b AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS t FROM lineitem) SELECT x.t AS track_id, y.t AS partner, count(*) AS n FROM b x JOIN b y ON x.p = y.p
-WHERE x.t IN (SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY ALL""",
+    "co_playlist_partners": """WITH b AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS t FROM lineitem) SELECT x.t AS track_id, y.t AS partner, count(*) AS n FROM b x JOIN b y ON x.p = y.p GROUP BY ALL""",
     "genre_lookup": """WITH t AS (SELECT p_partkey, p_brand AS tag FROM part WHERE p_size < 40 UNION SELECT p_partkey, p_type FROM part WHERE p_size < 40), g AS (SELECT p_partkey, string_agg(tag, '|' ORDER BY tag) AS genres FROM t GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey AS track_id, coalesce(genres, '') AS genres FROM lineitem LEFT JOIN g ON p_partkey = l_partkey""",
     "track_names": "SELECT l_orderkey AS playlist_id, l_partkey AS track_id, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey",

@@ -35,8 +35,7 @@ def _lrc(spark, d):
 
 
 def _bigrams(spark, d):
-    few = docs(spark, d).where(F.length("text") < 3000)
-    return few.select("doc_id", F.posexplode(X.bigrams(X.tokens(F.col("text")), STOP, r"[a-z]", 9)).alias("pos", "gram")).select("doc_id", F.col("pos").cast("long").alias("pos"), "gram")
+    return docs(spark, d).select("doc_id", F.posexplode(X.bigrams(X.tokens(F.col("text")), STOP, r"[a-z]", 9)).alias("pos", "gram")).select("doc_id", F.col("pos").cast("long").alias("pos"), "gram")
 
 
 def _tfidf(spark, d):
@@ -52,7 +51,7 @@ def _vectors(spark, d):
 
 
 def _candidates(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+    e = table(spark, d, "embeddings")
     return e.select((F.col("vec_id") % 20).alias("doc_id"), F.concat(F.lit("v"), "vec_id").alias("word"), (F.lit(1.0) / (1 + F.col("vec_id") % 17)).alias("weight"))
 
 
@@ -115,7 +114,7 @@ def _pairs(spark, d):
 
 
 def _coherence(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 200").select((F.col("vec_id") % 20).alias("doc"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("doc"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
     b = e.select("doc", F.col("pos").alias("q"), F.col("vec").alias("w"))
     return e.join(b, "doc").where("pos <= q").groupBy("doc").agg(F.round(F.avg(V.cosine("vec", "w")), 6).alias("mean_cos"), F.count("*").alias("pairs"))
 
@@ -130,13 +129,13 @@ ORACLE_SQL = {
     "sentences": rf"WITH {_D} SELECT doc_id, len(list_filter(regexp_split_to_array(text, '。|？|\.\.\.|……|~'), lambda x: len(regexp_extract_all(lower(x), '\p{{L}}+|\p{{N}}+')) >= 3)) AS n FROM d",
     "lrc_parse": """SELECT r_regionkey, pos::BIGINT AS pos, mark, text FROM region, (VALUES (0, '[00:01.10]', 'second'), (1, '[00:12.50]', 'first'), (2, '[00:30]', 'third'), (3, '[01:02.00]', 'first')) v(pos, mark, text) WHERE r_regionkey < 3
 UNION ALL SELECT r_regionkey, pos, '', text FROM region, (VALUES (0, 'plain'), (1, 'lines')) v(pos, text) WHERE r_regionkey >= 3""",
-    "bigrams": rf"""WITH {_T}, p AS (SELECT doc_id, pos, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t WHERE doc_id IN (SELECT doc_id FROM d WHERE length(text) < 3000))
+    "bigrams": rf"""WITH {_T}, p AS (SELECT doc_id, pos, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, a || b AS gram FROM p WHERE b IS NOT NULL AND regexp_matches(a || b, '[a-z]') AND list_sort(list_distinct(string_split(a, ''))) <> list_sort(list_distinct(string_split(b, '')))
 AND length(a || b) < 9 AND a NOT IN {_STOP} AND b NOT IN {_STOP}""",
     "top_bigrams": rf"""WITH {_T}, p AS (SELECT doc_id, pos, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t),
 g AS (SELECT doc_id, a || b AS word, count(*) AS n, min(pos) AS first FROM p WHERE b IS NOT NULL AND regexp_matches(a || b, '[a-z]') AND list_sort(list_distinct(string_split(a, ''))) <> list_sort(list_distinct(string_split(b, '')))
 AND length(a || b) < 9 AND a NOT IN {_STOP} AND b NOT IN {_STOP} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM g) SELECT doc_id, rank, word, n FROM r WHERE rank <= 10 AND n >= 3""",
-    "lexicon_consolidate": rf"""WITH {_T}, p AS (SELECT doc_id, pos, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t WHERE doc_id IN (SELECT doc_id FROM d WHERE length(text) < 3000))
+    "lexicon_consolidate": rf"""WITH {_T}, p AS (SELECT doc_id, pos, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t)
 SELECT DISTINCT a || b AS word FROM p WHERE b IS NOT NULL AND regexp_matches(a || b, '[a-z]') AND list_sort(list_distinct(string_split(a, ''))) <> list_sort(list_distinct(string_split(b, '')))
 AND length(a || b) < 9 AND a NOT IN {_STOP} AND b NOT IN {_STOP} AND NOT contains(a || b, 'th') AND NOT contains(a || b, 'ou') AND NOT contains(a || b, 'é')""",
     "tag_pool": rf"WITH {_F} SELECT r.doc_id, rank, w AS word, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_tokens FROM r JOIN d USING (doc_id) WHERE rank <= 10",
@@ -146,6 +145,6 @@ AND length(a || b) < 9 AND a NOT IN {_STOP} AND b NOT IN {_STOP} AND NOT contain
     "nearest_words": f"""WITH s AS (SELECT 'v' || q.vec_id AS query, 'v' || e.vec_id AS word, round({_COS.format('q.embedding', 'e.embedding')}, 6) AS sim FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id IN (1, 2, 3)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, word) AS rank FROM s) SELECT query, word, sim, rank FROM r WHERE rank <= 10""",
     "pair_similarity": f"SELECT a.vec_id AS i, round({_COS.format('a.embedding', 'b.embedding')}, 6) AS cos, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "coherence": f"SELECT a.vec_id % 20 AS doc, round(avg({_COS.format('a.embedding', 'b.embedding')}), 6) AS mean_cos, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = b.vec_id % 20 AND a.vec_id <= b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200 GROUP BY 1",
+    "coherence": f"SELECT a.vec_id % 20 AS doc, round(avg({_COS.format('a.embedding', 'b.embedding')}), 6) AS mean_cos, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = b.vec_id % 20 AND a.vec_id <= b.vec_id GROUP BY 1",
     "lexicon_tokens": rf"WITH {_D} SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), 'then|the|ou|th|\p{{L}}+|\p{{N}}+'), ' ')) AS h FROM d",
 }
