@@ -22,7 +22,7 @@ from .common import body, id_hash, table
 BITS = 18
 FACTORS = 4
 #: Bound of the labelled sample, of each label.
-SAMPLE = 6000
+SAMPLE = 4000
 WORD = re.compile(r"[^\W\d_]+")
 
 
