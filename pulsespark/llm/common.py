@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,17 +63,57 @@ def id_hash(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts at a time.
+PART = 400_000
+
+
+def _contract(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (u, v) replaced, part by part, by edges of every node to the smallest of its component in the part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        for pdf in frames:
+            for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+                p, q = root(a), root(b)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+        pairs = [(x, root(x)) for x in list(parent)]
+        yield pd.DataFrame([(x, r) for x, r in pairs if x != r], columns=["u", "v"], dtype="int64")
+
+    return edges.repartition(parts).mapInPandas(run, "u long, v long")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, part: int = PART) -> DataFrame:
     """Connected components of edges(a, b) as rows (node, component), component being the smallest reachable node.
 
-    Large-star and small-star steps alternate, so paths shrink geometrically and a round moves each edge once; rounds
-    are staged in the shared folder.  A hub is grouped by its neighbours' minimum with map-side partial aggregation and
-    joined back as an equi-join, so a hub with very many neighbours never has to fit into one task.
+    Edges are first contracted in parts of bounded size, again and again while that shrinks them, which ends the matter once
+    they fit one part.  Else large-star and small-star steps alternate, so paths shrink geometrically and a round moves
+    each edge once.  A hub is grouped by its neighbours' minimum with map-side partial aggregation and joined back as an
+    equi-join, so a hub with very many neighbours never has to fit into one task.  Rounds are staged in the shared folder.
     Nodes without edges are not returned; an empty input gives no rows.
     """
-    current = staged(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    n = current.count()
+    while True:
+        fits = n <= part
+        following = staged(_contract(current, max(1, -(-n // part))), "edges")
+        discard(current)
+        current, before, n = following, n, following.count()
+        if fits or n > 0.8 * before:
+            break
+    if not fits:
+        current = _stars(current, max_rounds)
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return out.union(current.select("v", "v").distinct().toDF("node", "component"))
+
+
+def _stars(current: DataFrame, max_rounds: int) -> DataFrame:
     before = _total(current)
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -91,12 +133,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(current)
         current = following
         if after == before:
-            break
+            return current
         before = after
-    else:
-        raise RuntimeError("components did not settle")
-    out = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.union(current.select("v", "v").distinct().toDF("node", "component"))
+    raise RuntimeError("components did not settle")
 
 
 def _total(edges: DataFrame) -> tuple:

@@ -364,7 +364,8 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [50, 400_000])
+def test_components(spark, part):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, j) for j in range(2001, 2300)]
     parent = {n: n for e in edges for n in e}
@@ -377,7 +378,7 @@ def test_components(spark):
     for a, b in edges:
         p, q = sorted((root(a), root(b)))
         parent[q] = p
-    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), part=part).collect()}
     assert got == {n: root(n) for e in edges if e[0] != e[1] for n in e}
 
 
