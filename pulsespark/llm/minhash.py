@@ -4,12 +4,12 @@ A document's set holds its distinct 2-word shingles.  Each shingle sends exponen
 a register keeps the least, stored as the truncated logarithm to base 1.02.  Registers of unions are the maxima of the
 registers, and those of similar sets are equal about as often as the Jaccard similarity says.  Six registers make a band.
 
-Documents with the same word sequence form a class at once.  Classes that share a band meet in its bucket; every bucket
-links its members with its smallest one only, so a bucket of thousands gives as many pairs.  Pairs are kept by the size
-ratio (exact) and by the joint likelihood of both registers and sizes, six standard deviations below the threshold, and then
-confirmed on the full sets.  Buckets whose members are in one component need nothing more.  In the others, members of
-different components still have to be compared: all such pairs where the bucket is small; where it is large, its members
-are dealt into finer buckets by a second band, and so on.
+Documents with the same word sequence form a class at once.  Classes that share a band meet in its bucket; a bucket links
+its members with its smallest one only, so a bucket of thousands gives as many pairs.  Pairs are kept by the size ratio
+(exact) and by the joint likelihood of both registers and sizes, six standard deviations below the threshold, and then
+confirmed on the full sets.  Six bands' buckets go first, then all that do not lie in one component yet.  In those left, each
+member outside the largest component meets one member of it, chosen by a hash, a few times over, which leaves few
+outside; these are compared with all members of other components, block by block inside tasks.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from .common import body, components, staged, table
 REGISTERS = 256
 BASE = 1.02
 BANDS, ROWS = 42, 6
-SMALL = 64
+BLOCK = 2048
+#: Bands whose buckets are linked first, and rounds of single probes before minorities are compared with all others.
+FIRST, PROBES = 6, 3
 MARGIN = 0.15
 _SKETCH = "doc_id long, n_shingles long, digest string, bands array<long>, sketch binary"
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -214,42 +216,82 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketches = staged(reps.join(met, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "bands"), "met")
     texts = staged(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    label = None
-    for depth in range(6):
-        if label is None:
-            cells = buckets.select("key", "rep", F.col("rep").alias("cell"))
-        else:  # buckets that lie in one component are done with
-            cells = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("cell"))
-            mixed = cells.groupBy("key").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-            cells = staged(cells.join(mixed, "key"), "mixed")
-            if cells.isEmpty():
-                break
-            small = cells if depth == 5 else cells.where(f"n <= {SMALL}")
-            left = small.select("key", F.col("rep").alias("a"), F.col("cell").alias("ca"))
-            right = small.select("key", F.col("rep").alias("b"), F.col("cell").alias("cb"))
-            cross = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-            links, label = _grown(links, cross, sketches, texts, percent, size)
-            if depth == 5:
-                break
-            large = cells.where(f"n > {SMALL}").select("key", "rep")
-            finer = large.join(sketches.select(F.col("doc_id").alias("rep"), "bands"), "rep").select(
-                "rep", F.col("key").alias("old"), F.explode("bands").alias("band")
-            ).where("band <> old").select("rep", F.xxhash64("old", "band").alias("key"))
-            again = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-            buckets = staged(finer.join(again, "key"), "buckets")
-            cells = buckets.select("key", "rep", F.col("rep").alias("cell"))
-        leaders = cells.groupBy("key").agg(F.min("rep").alias("a"))
-        stars = cells.join(leaders, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-        links, label = _grown(links, stars, sketches, texts, percent, size)
+    few = sketches.select(F.explode(F.slice("bands", 1, FIRST)).alias("key")).distinct()
+    links, label = _grown(links, None, _stars(buckets.join(few, "key", "left_semi")), sketches, texts, percent, size)
+    links, label = _grown(links, label, _stars(_mixed(buckets, label)[0]), sketches, texts, percent, size)
+    for probe in range(PROBES):
+        # each member of the minority meets one member of the largest component, another one every time
+        cells, sizes = _mixed(buckets, label)
+        inside = cells.join(sizes, "key")
+        some = inside.where("cell = top").groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key", F.lit(probe))).alias("met"))
+        pairs = inside.where("cell <> top").join(some, "key").select(F.least("rep", "met").alias("a"), F.greatest("rep", "met").alias("b")).distinct()
+        links, label = _grown(links, label, pairs, sketches, texts, percent, size)
+    cells, sizes = _mixed(buckets, label)
+    links, label = _grown(links, label, _across(cells, sizes, sketches, percent), sketches, texts, percent, size)
     grouped = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(grouped, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _grown(links: DataFrame, pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Each bucket's members paired with its smallest."""
+    leaders = buckets.groupBy("key").agg(F.min("rep").alias("a"))
+    return buckets.join(leaders, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (key, rep, cell) of buckets, cell being the component, and (key, top, minority) of those with several: the
+    largest component, and how many members lie outside it and still have to meet the others."""
+    cells = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("cell"))
+    sizes = cells.groupBy("key", "cell").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "cell")).alias("top"))
+    sizes = sizes.where("n > top.n").select("key", F.col("top.cell").alias("top"), F.col("n").alias("members"), (F.col("n") - F.col("top.n")).alias("minority"))
+    sizes = staged(sizes, "mixed")
+    return staged(cells.join(sizes.select("key"), "key", "left_semi"), "cells"), sizes
+
+
+def _across(cells: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all members of minorities with all members of other cells of their bucket, but for those whose registers
+    rule the similarity out.  Buckets are dealt into blocks of bounded size, block of the minority against block of members,
+    and pairs are looked at inside a task, so that what comes out is what may be linked."""
+    held = sketches.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
+    rows = cells.join(sizes, "key").join(held, "rep")
+    part = lambda whole, salt: F.expr(f"pmod(xxhash64(rep, {salt}), cast(ceil({whole} / {BLOCK}) as int))")
+    every = lambda whole: F.explode(F.expr(f"sequence(0, cast(ceil({whole} / {BLOCK}) as int) - 1)"))
+    keep = ("key", "rep", "cell", "n", "sketch")
+    left = rows.where("cell <> top").withColumn("i", part("minority", 1)).withColumn("j", every("members")).select(*keep, "i", "j", F.lit(0).alias("side"))
+    right = rows.withColumn("j", part("members", 2)).withColumn("i", every("minority")).select(*keep, "i", "j", F.lit(1).alias("side"))
+    least = percent / 100 - MARGIN
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, i, j, side = (pdf[c].to_numpy() for c in ("key", "i", "j", "side"))
+        order = np.lexsort((side, j, i, key))
+        key, i, j, side = key[order], i[order], j[order], side[order]
+        n, cell, ids = (pdf[c].to_numpy()[order] for c in ("n", "cell", "rep"))
+        regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)[order]
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(starts, np.append(starts[1:], len(key))):
+            mid = lo + int((side[lo:hi] == 0).sum())  # the minority's block comes first, then the members'
+            for r in range(lo, mid):
+                near = (cell[mid:hi] != cell[r]) & (100 * np.minimum(n[mid:hi], n[r]) >= percent * np.maximum(n[mid:hi], n[r]))
+                near = np.flatnonzero(near) + mid
+                near = near[(regs[near] == regs[r]).sum(1) >= least * REGISTERS]
+                a.append(np.full(len(near), ids[r]))
+                b.append(ids[near])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    members = sizes.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first().n
+    blocks = left.unionByName(right).withColumn("g", F.expr(f"pmod(xxhash64(key, i, j), {max(64, members // BLOCK)})"))
+    return blocks.groupBy("g").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _grown(links: DataFrame, label: DataFrame | None, pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """The links with the confirmed ones of pairs, and their components."""
     more = staged(confirm(_likely(pairs, sketches, percent), texts, percent, size), "links")
+    if label is not None and more.isEmpty():
+        return links, label
     links = links.union(more)
     return links, components(links)
 
