@@ -1,14 +1,15 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by sorted projection passes and an exact sweep of what they leave apart.
 
 Each pass hashes every vector to signs of random projections, all bits in one string, and sorts by it, so similar vectors
 with a common prefix lie near one another.  Each vector is compared with a bounded window of neighbours in the order; pairs
-with a cosine of at least the threshold, in double precision, are united across the passes.  Since the components then
-hold the links, the links inside each component are counted exactly, block against block, without writing pairs out.
-
-With an angle of 26 degrees (cosine 0.9) a sign agrees with probability 0.857.  A pass fails to bring two vectors into a
-window when fewer bits agree than it takes to thin the table to the window; 32 passes with windows of 64 leave less than
-one link in a hundred unseen for some million vectors, and far fewer for closer vectors or for groups that several pairs hold
-together.  Tests measure the recall against brute force.
+with a cosine of at least the threshold, in double precision, are united across the passes.  The passes miss pairs that
+never fall into a window, the more the denser the vectors lie, so they only prepare: then every vector meets every other,
+block against block, and a link between two components unites them.  Since the components then hold all links, the links
+inside each component are counted exactly, again block against block, without writing pairs out.
+
+The sweep multiplies in single precision, with a margin that covers its rounding, and decides what passes that in double
+precision.  Its time grows with the square of the table; pairs whose components are one already cost the product only.
+Tests compare with brute force.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, staged, table
+from .common import components, discard, staged, table
 
 PASSES = 32
 WINDOW = 64
 BITS = 63
 BLOCK = 4096
+#: Bytes of vectors that the sweep sends to all tasks at a time, and the sides of a product.
+SWEEP = 16 << 20
+TILE = (256, 4096)
 _EPS = 1e-12
 
 
@@ -127,7 +131,65 @@ def candidate_links(units: DataFrame, threshold: float, passes: int = PASSES, wi
         return pd.DataFrame(edges, columns=["a", "b"])
 
     found = cells.join(units, "vec_id").groupBy("cell").applyInPandas(compare, "a long, b long")
-    return staged(found.distinct(), "links")
+    out = staged(found.distinct(), "links")
+    discard(coded)
+    discard(placed)
+    return out
+
+
+def missed_links(units: DataFrame, label: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) that unite components(node, component) with one another, of all pairs of vectors.
+
+    The vectors are dealt into parts of about `size` bytes; part after part is sent to the tasks, which compare it with
+    its own and the later parts, so each pair meets once.
+    """
+    spark = units.sparkSession
+    total = units.agg(F.sum(F.length("unit"))).first()[0] or 0
+    parts, tasks = max(1, -(-total // size)), max(2 * spark.sparkContext.defaultParallelism, total >> 22)
+    marked = units.join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    dealt = staged(marked.select("component", "unit", F.expr(f"pmod(xxhash64(vec_id), {parts})").alias("part")).repartition(tasks), "dealt")
+
+    def sweep(sent):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            high, wide = TILE
+            for pdf in frames:
+                for dims, rows in pdf.groupby(pdf["unit"].str.len() // 8):
+                    if dims not in sent.value:
+                        continue
+                    theirs, w, w32 = sent.value[dims]
+                    ours, v = rows["component"].to_numpy(), _matrix(rows["unit"])
+                    v32, least = v.astype(np.float32), np.float32(threshold - _EPS - (int(dims) + 4) * 2.0**-23)
+                    found = []
+                    for i in range(0, len(v), high):
+                        for j in range(0, len(w), wide):
+                            near = v32[i : i + high] @ w32[j : j + wide].T
+                            if near.max() < least:
+                                continue
+                            x, y = np.nonzero((near >= least) & (ours[i : i + high, None] != theirs[None, j : j + wide]))
+                            for at in range(0, len(x), 1 << 15):
+                                p, q = x[at : at + (1 << 15)] + i, y[at : at + (1 << 15)] + j
+                                hit = np.einsum("ij,ij->i", v[p], w[q]) >= threshold - _EPS
+                                found.append(np.unique(np.stack([ours[p[hit]], theirs[q[hit]]]), axis=1))
+                    if found:
+                        ids, at = np.unique(np.concatenate(found, axis=1), return_inverse=True)
+                        at = at.reshape(2, -1)
+                        yield pd.DataFrame(_united(ids, at[0], at[1]), columns=["a", "b"], dtype="int64")
+
+        return run
+
+    out = None
+    for part in range(parts):
+        rows = dealt.where(F.col("part") == part).toPandas()
+        held = {}
+        for dims, some in rows.groupby(rows["unit"].str.len() // 8):
+            w = _matrix(some["unit"])
+            held[int(dims)] = (some["component"].to_numpy(), w, w.astype(np.float32))
+        sent = spark.sparkContext.broadcast(held)
+        links = staged(dealt.where(F.col("part") >= part).mapInPandas(sweep(sent), "a long, b long"), "missed")
+        sent.destroy()
+        out = links if out is None else out.union(links)
+    discard(dealt)
+    return out
 
 
 def link_counts(units: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
@@ -165,8 +227,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PA
     ignored; an empty table gives no rows.
     """
     units = staged(unit_vectors(vectors), "units")
-    label = components(candidate_links(units, threshold, passes, window))
-    label = staged(label, "labels")
+    links = candidate_links(units, threshold, passes, window)
+    label = staged(components(links), "labels")
+    missed = missed_links(units, label, threshold, SWEEP)
+    if not missed.isEmpty():
+        label = staged(components(links.union(missed)), "labels")
     counts = link_counts(units, label, threshold)
     found = label.withColumnRenamed("node", "vec_id").join(counts, "vec_id", "left")
     out = vectors.select(F.col("vec_id").cast("long")).join(found, "vec_id", "left")

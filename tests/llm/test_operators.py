@@ -364,6 +364,34 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def dense_vectors(n=1500, pairs=60, close=0.8, seed=3):
+    """Rows around one direction with a mutual cosine of about `close`, and pairs among them at 0.90 to 0.92."""
+    rng = np.random.default_rng(seed)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    center = unit(rng.standard_normal(64))
+    side = rng.standard_normal((n, 64))
+    base = unit(np.sqrt(close) * center + np.sqrt(1 - close) * unit(side - (side @ center)[:, None] * center))
+    way = rng.standard_normal((pairs, 64))
+    way = unit(way - (way * base[:pairs]).sum(1)[:, None] * base[:pairs])
+    c = rng.uniform(0.9, 0.92, pairs)[:, None]
+    return np.vstack([base, c * base[:pairs] + np.sqrt(1 - c * c) * way])
+
+
+def test_embeddings_of_a_dense_group(spark, monkeypatch):
+    v = dense_vectors()
+    links = v @ v.T >= 0.9
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        following = np.where(links, label[None], len(v)).min(1)
+        if (following == label).all():
+            break
+        label = following
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_dedup, "SWEEP", 200_000)  # several parts
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, passes=2, window=4).collect()}
+    assert got == {i: (int(links[i].sum()) - 1, int(label[i])) for i in range(len(v))}
+
+
 @pytest.mark.parametrize("part", [50, 400_000])
 def test_components(spark, part):
     rng = random.Random(1)
