@@ -82,37 +82,54 @@ def power_law(rows: DataFrame, key: str = "key", value: str = "x") -> DataFrame:
     return err.select("key", F.when(F.col("points") > 3, F.round("slope", 6)).alias("slope"), F.when(F.col("points") > 3, F.round(F.try_divide("rmse", "my"), 6)).alias("sigma"), F.round("mean", 6).alias("mean"))
 
 
-def _zeta(a: float, start: int) -> float:
-    k = np.arange(start, start + 4000, dtype=float)
-    end = start + 4000
-    return float((k**-a).sum() + end ** (1 - a) / (a - 1) + 0.5 * end**-a)
+def _zeta(a: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sum over k of (q + k)^-a, times q^a, so that no power vanishes: 16 terms, the others by Euler and Maclaurin."""
+    r = q + 16.0
+    head = sum(np.exp(-a * np.log1p(k / q)) for k in range(16))
+    f = a / r
+    g = f * (a + 1) / r * (a + 2) / r
+    rest = r / (a - 1) + 0.5 + f / 12 - g / 720 + g * (a + 3) / r * (a + 4) / r / 30240
+    return head + np.exp(-a * np.log(r / q)) * rest
+
+
+def _alphas(q: np.ndarray, mean_log: np.ndarray, bounded: bool) -> np.ndarray:
+    """The most likely alpha of each tail from q on, of which mean_log is the mean of log(x / q)."""
+
+    def rising(a):
+        h = 1e-4
+        return -(np.log(_zeta(a + h, q)) - np.log(_zeta(a - h, q))) / (2 * h) > mean_log
+
+    lo, hi = np.full(len(q), 1.01), np.full(len(q), 8.0)
+    while not bounded and (up := rising(hi)).any() and hi.max() < 1e12:
+        lo, hi = np.where(up, hi, lo), np.where(up, 2 * hi, hi)
+    for _ in range(60):  # the likelihood's slope in alpha falls, so halve
+        a = (lo + hi) / 2
+        up = rising(a)
+        lo, hi = np.where(up, a, lo), np.where(up, hi, a)
+    return (lo + hi) / 2
 
 
 def power_law_mle(rows: DataFrame, key: str = "key", value: str = "x") -> DataFrame:
     """(key, alpha, xmin, n_tail, exp_rate): discrete maximum likelihood at the xmin of least Kolmogorov distance, among the values' histogram.
 
-    Each key's histogram is worked on, not its rows; exp_rate is that of the exponential fitted to the same tail.
+    Each key's histogram is worked on, not its rows; every distinct value but the largest is tried, which costs the square of
+    their number.  exp_rate is that of the exponential fitted to the same tail; a key of one value has an alpha of 8.
     """
     histogram = rows.select(F.col(key).cast("string").alias("key"), F.col(value).cast("long").alias("x")).where("x >= 1").groupBy("key", "x").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
-        x, n = pdf["x"].to_numpy(), pdf["n"].to_numpy()
+        x, n = pdf["x"].to_numpy(float), pdf["n"].to_numpy(float)
+        tails = lambda v: v[::-1].cumsum()[::-1]
+        size, mean = tails(n), tails(n * x) / tails(n)
+        tried = max(1, len(x) - 1)
+        alpha = _alphas(x[:tried], (tails(n * np.log(x)) / size - np.log(x))[:tried], bounded=len(x) == 1)
         best = None
-        for i in range(max(1, min(len(x) - 1, 60))):
-            t, c = x[i:], n[i:]
-            mean_log = float((c * np.log(t)).sum() / c.sum())
-            lo, hi = 1.01, 8.0
-            for _ in range(60):  # the likelihood's slope in alpha falls, so halve
-                a, h = (lo + hi) / 2, 1e-4
-                slope = -(np.log(_zeta(a + h, int(t[0]))) - np.log(_zeta(a - h, int(t[0])))) / (2 * h) - mean_log
-                lo, hi = (a, hi) if slope > 0 else (lo, a)
-            a = (lo + hi) / 2
-            z = _zeta(a, int(t[0]))
-            model = np.array([1 - _zeta(a, int(v) + 1) / z for v in t])
-            distance = float(np.abs(np.cumsum(c) / c.sum() - model).max())
+        for i, a in enumerate(alpha):
+            beyond = np.exp(-a * np.log((x[i:] + 1) / x[i])) * _zeta(a, x[i:] + 1) / _zeta(a, x[i])
+            distance = float(np.abs(n[i:].cumsum() / size[i] - (1 - beyond)).max())
             if best is None or distance < best[0] - 1e-12:
-                best = (distance, a, int(t[0]), int(c.sum()), 1 / max(float((c * t).sum() / c.sum()) - int(t[0]), 1e-9))
+                best = (distance, float(a), int(x[i]), int(size[i]), 1 / max(float(mean[i] - x[i]), 1e-9))
         return pd.DataFrame([(pdf["key"].iloc[0], *best[1:])], columns=["key", "alpha", "xmin", "n_tail", "exp_rate"])
 
     return histogram.groupBy("key").applyInPandas(fit, "key string, alpha double, xmin long, n_tail long, exp_rate double")

@@ -2,6 +2,8 @@
 
 import itertools
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,16 @@ def test_bands_and_sampling(spark):
     assert sorted(r.i for r in relational.spaced_sample(rows, "g", "i", 500).collect()) == want
 
 
+def test_power_law_tries_every_minimum(spark):
+    rng = random.Random(4)
+    values = [v for v in range(1, 120) for _ in range(30)] + [math.floor(119.5 * (1 - rng.random()) ** (-1 / 1.5) + 0.5) for _ in range(8000)]
+    got = report.power_law_mle(spark.createDataFrame([("k", v) for v in values], "key string, x long")).first()
+    assert got.xmin >= 110 and got.alpha == pytest.approx(2.5, abs=0.15) and got.n_tail == sum(v >= got.xmin for v in values)
+    steep = [v for v in range(200, 260) for _ in range(round(1e5 * (v / 200) ** -30.0))]
+    got = report.power_law_mle(spark.createDataFrame([("k", v) for v in steep], "key string, x long")).first()
+    assert got.alpha == pytest.approx(30, abs=1)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r/12.json").write_text(json.dumps([{"time": 1, "likedCount": 2, "content": "x"}]))
