@@ -5,6 +5,8 @@ These are sequential by definition; series are what a key's calendar has, some t
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,10 +95,18 @@ def dynamic(series: DataFrame, points: int = 10, least: int = 3, jump: int = 5)
             return []
         cost = np.full((m, m), np.inf)
         for a in range(m):
-            for b in range(a + 1, min(m, a + 1 + max(12, 6 * m // (k + 1)))):
-                part = y[grid[a] : grid[b]]
-                if len(part) >= least:
-                    cost[a, b] = np.abs(part - np.median(part)).sum()
+            low, high, under, over = [], [], 0.0, 0.0  # the halves under (negated) and over the running median, and their sums
+            for b in range(a + 1, m):
+                for v in y[grid[b - 1] : grid[b]].tolist():
+                    moved = -heapq.heappushpop(low, -v)
+                    heapq.heappush(high, moved)
+                    under, over = under + v - moved, over + moved
+                    if len(high) > len(low):
+                        moved = heapq.heappop(high)
+                        heapq.heappush(low, -moved)
+                        under, over = under + moved, over - moved
+                if grid[b] - grid[a] >= least:
+                    cost[a, b] = over - under - (len(low) - len(high)) * low[0]
         best, back = [cost[0]], []
         for _ in range(k):
             total = best[-1][:, None] + cost

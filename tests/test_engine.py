@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsespark.functions import text as X
-from pulsespark.operators import cluster, itemsets, relational, report, words
+from pulsespark.operators import changepoint, cluster, itemsets, relational, report, words
 from pulsespark.sources import sinks, tables
 from pulsespark.streaming.counts import streaming_counts
 
@@ -117,6 +117,12 @@ def test_power_law_tries_every_minimum(spark):
     assert got.alpha == pytest.approx(30, abs=1)
 
 
+def test_dynamic_keeps_long_quiet_segments(spark):
+    y = [0.0 if i < 500 else 20.0 * min((i - 500) // 20 + 1, 10) for i in range(720)]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(y)], "key string, idx long, y double")
+    assert [r.at for r in changepoint.dynamic(df).collect()] == list(range(500, 700, 20))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r/12.json").write_text(json.dumps([{"time": 1, "likedCount": 2, "content": "x"}]))
