@@ -27,7 +27,7 @@ TAG = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr"
     " html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -116,7 +116,7 @@ def blocks(page: str) -> list[Block]:
                 if not m[2]:
                     if tag == "body":
                         stack = [x for x in stack if x[0] != "head"]
-                    sign = _sign(tag, m[4] if len(m[4]) < 500 else m[4][:500])
+                    sign = (_sign if len(m[4]) < 500 else _sign.__wrapped__)(tag, m[4])  # long ones stay out of the cache
                     if tag == "header":  # of the page, or else the heading of the article it stands in
                         sign = sign if any(s > 0 for _, s in stack) and sign >= 0 else -1
                     if not m[4].endswith("/"):

@@ -341,6 +341,16 @@ def test_html_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_behind_long_attributes():
+    long = "x hidden " * 80
+    text = " ".join(["word"] * 60)
+    for name, sign in (("comments", -1), ("article-body", 1)):
+        for around in (f'data-config="{long}" class="{name}"', f"class='{name}' data-config='{long}'"):
+            (block,) = html_extract.blocks(f"<div {around}><p>{text}</p></div>")
+            assert (block.inner, block.bad_around, block.good_around) == (sign, int(sign < 0), int(sign > 0))
+    assert html_extract.blocks(f"<div style='color:{long};display: none'><p>{text}</p></div>")[0].inner == -1
+
+
 # ---- embeddings -----------------------------------------------------------------------------------------------------
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(12)
