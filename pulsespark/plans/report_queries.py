@@ -139,6 +139,8 @@ QUERIES = {
     "transactions": lambda s, d: _items(itemsets.transactions(baskets(s, d)), "items"),
     "frequent_itemsets": lambda s, d: _items(itemsets.frequent(itemsets.transactions(baskets(s, d)), 40).where("size(items) <= 2"), "items"),
     "itemset_report": lambda s, d: _items(itemsets.report(itemsets.frequent(itemsets.transactions(baskets(s, d)), 40)).where("size(items) = 2"), "items"),
+    "frequent_itemsets_all": lambda s, d: _items(itemsets.frequent(itemsets.transactions(baskets(s, d)), 40), "items"),
+    "itemset_report_all": lambda s, d: _items(itemsets.report(itemsets.frequent(itemsets.transactions(baskets(s, d)), 40)), "items"),
     "frequent_pairs": lambda s, d: itemsets.pairs(baskets(s, d), 3),
     "association_rules": _rules,
     "leader_clusters": lambda s, d: _items(_leaders(s, d), "tags"),
@@ -159,6 +161,9 @@ QUERIES = {
 _B = """b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT l_orderkey, list_sort(list(p_brand)) AS items FROM b GROUP BY 1), t AS (SELECT DISTINCT items FROM s), u AS (SELECT row_number() OVER () AS id, items FROM t), i AS (SELECT id, unnest(items) AS item FROM u),
 f1 AS (SELECT item AS items, count(*) AS freq FROM i GROUP BY 1 HAVING count(*) >= 40), f2 AS (SELECT a.item AS a, b.item AS b, count(*) AS freq FROM i a JOIN i b ON a.id = b.id AND a.item < b.item GROUP BY ALL HAVING count(*) >= 40),
 f3 AS (SELECT a.item AS a, b.item AS b, c.item AS c, count(*) AS freq FROM i a JOIN i b ON a.id = b.id AND a.item < b.item JOIN i c ON c.id = b.id AND b.item < c.item GROUP BY ALL HAVING count(*) >= 40)"""
+#: Every subset of every transaction by bit masks, so that sets have any size.
+_ALL = """b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT DISTINCT items FROM (SELECT list_sort(list(p_brand)) AS items FROM b GROUP BY l_orderkey)), m AS (SELECT items, unnest(range(1, (1::BIGINT << len(items)))) AS mask FROM t),
+s AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items FROM m), f AS (SELECT items, count(*) AS freq FROM s GROUP BY 1 HAVING count(*) >= 40)"""
 _CEN = "c AS (SELECT l_partkey AS track_id, l_orderkey AS flag, (l_suppkey % 7)::VARCHAR AS cluster FROM lineitem)"
 _BAND = """c AS (SELECT floor(o_totalprice / 20)::BIGINT // 100 AS level, 'c' || (o_custkey % 12) AS cluster FROM orders),
 b AS (SELECT CASE WHEN level BETWEEN 1 AND 5 THEN '1-5' WHEN level BETWEEN 5 AND 10 THEN '5-10' WHEN level BETWEEN 10 AND 15 THEN '10-15' WHEN level BETWEEN 15 AND 30 THEN '15-30' WHEN level BETWEEN 30 AND 60 THEN '30-60' WHEN level BETWEEN 60 AND 1000 THEN '60-1000' END AS band, cluster FROM c),
@@ -183,6 +188,8 @@ SELECT p.key, CASE WHEN k > 3 THEN round(s, 6) END AS slope, CASE WHEN k > 3 THE
     "transactions": f"WITH {_B} SELECT array_to_string(items, '+') AS items FROM t",
     "frequent_itemsets": f"WITH {_B} SELECT items, freq FROM f1 UNION ALL SELECT a || '+' || b, freq FROM f2",
     "itemset_report": f"WITH {_B} SELECT a || '+' || b AS items, freq FROM f2 WHERE freq > 1",
+    "frequent_itemsets_all": f"WITH {_ALL} SELECT array_to_string(items, '+') AS items, freq FROM f",
+    "itemset_report_all": f"WITH {_ALL} SELECT array_to_string(items, '+') AS items, freq FROM f WHERE len(items) > 1",
     "frequent_pairs": "WITH b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT x.p_brand AS a, y.p_brand AS b, count(*) AS n FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.p_brand < y.p_brand GROUP BY ALL HAVING count(*) >= 3",
     "association_rules": f"""WITH {_B}, r AS (SELECT f2.a AS antecedent, f2.b AS consequent, f2.freq / f1.freq::DOUBLE AS c FROM f2 JOIN f1 ON f1.items = f2.a UNION ALL SELECT f2.b, f2.a, f2.freq / f1.freq::DOUBLE FROM f2 JOIN f1 ON f1.items = f2.b
 UNION ALL SELECT x.ante, x.cons, x.freq / f1.freq::DOUBLE FROM (SELECT a AS ante, b || '+' || c AS cons, freq FROM f3 UNION ALL SELECT b, a || '+' || c, freq FROM f3 UNION ALL SELECT c, a || '+' || b, freq FROM f3) x JOIN f1 ON f1.items = x.ante

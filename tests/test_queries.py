@@ -38,3 +38,17 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_sql_has_its_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_itemsets_of_every_size(spark, db, tmp_path):
+    brands = [[1, 2, 3, 4]] * 50 + [[1, 2]] * 10  # each order with an own last part, so that transactions differ
+    lines = [(o, p) for o, ps in enumerate(brands) for p in [*ps, 100 + o]]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"b{p:03}") for p in [1, 2, 3, 4, *range(100, 160)]], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name, sizes in (("frequent_itemsets_all", {1, 2, 3, 4}), ("itemset_report_all", {2, 3, 4})):
+        got = canonical(QUERIES[name](spark, str(tmp_path)).select("items", "freq").collect())
+        assert got == canonical(con.sql(ORACLE_SQL[name]).select("items", "freq").fetchall())
+        assert {r[0].count("+") + 1 for r in got} == sizes
