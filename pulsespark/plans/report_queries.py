@@ -58,8 +58,7 @@ def _items(df: DataFrame, *columns: str) -> DataFrame:
 
 def _pool(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("seq"), F.concat(F.lit("t"), F.col("vec_id") % 150).alias("tag"), "embedding").join(
-        table(spark, d, "embeddings").select(F.concat(F.lit("t"), "vec_id").alias("tag"), F.col("embedding").alias("vec")), "tag").select("seq", "tag", "vec")
+    return e.select(F.col("vec_id").alias("seq"), F.concat(F.lit("t"), "vec_id").alias("tag"), F.col("embedding").alias("vec"))
 
 
 def _leaders(spark, d):

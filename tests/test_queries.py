@@ -52,3 +52,9 @@ def test_itemsets_of_every_size(spark, db, tmp_path):
         got = canonical(QUERIES[name](spark, str(tmp_path)).select("items", "freq").collect())
         assert got == canonical(con.sql(ORACLE_SQL[name]).select("items", "freq").fetchall())
         assert {r[0].count("+") + 1 for r in got} == sizes
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_leaders_come_from_all_vectors(spark):
+    tags = [int(t[1:]) for r in QUERIES["leader_clusters"](spark, SF).collect() for t in r.tags.split("+")]
+    assert len(tags) == len(set(tags)) and max(tags) >= 150
