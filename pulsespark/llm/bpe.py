@@ -15,26 +15,31 @@ import gc
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, table
+from .common import body, pieces_of, raw_bytes, table, text_runs
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space between two visible characters starts a pre-token and a newline there is one, so texts can be cut at either.
-CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-SPACED = re.compile(r"\s\s|^\s|\s\Z")
-#: Marks before stretches; lone surrogates, which no text in UTF-8 holds.
-FIRST, SPECIAL = "\ud800", "\udfff"
-CACHE_BYTES = 128 << 20
+#: Stretches and words remembered in one generation, some 250 and 150 bytes each; longer ones than LONG are not.
+KEPT_STRETCHES, KEPT_WORDS = 300_000, 300_000
 LONG = 256
 WINDOW = 6
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ASCII_WHITE = np.zeros(256, bool)
+_ASCII_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space beyond U+0085 and U+00A0.
+_WIDE_WHITE = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.int32)
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -138,97 +143,137 @@ class TrieEncoder:
 
 
 class TextEncoder:
-    """Whole texts, cut at single spaces; what stretches give is remembered within a bound of bytes, then forgotten.
+    """Whole texts, cut into stretches; what stretches and words give is remembered for two generations of bounded size.
 
-    make turns a stretch's ids into what is kept and returned for it.
+    make turns a word's ids into a tuple of what is kept for it; a stretch of several words has the sums of their parts.
     """
 
-    def __init__(self, definition: str, make=tuple):
+    def __init__(self, definition: str, make=lambda ids: (tuple(ids),)):
         self.v = Vocabulary(definition)
         self.trie = TrieEncoder(self.v)
         self.split = regex.compile(SPLIT)
-        self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.v.specials, key=len, reverse=True))) if self.v.specials else None
+        self.specials = {s.encode(): i for s, i in self.v.specials.items()}
+        self.special = re.compile(b"|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.make = make
-        self.known: dict[str, object] = {}
-        self.aged: dict[str, object] = {}
-        self.held = 0
-
-    def _cut(self, text: str) -> list[str]:
-        """Stretches; all but the first and those that begin with a newline follow a space.  The first, and specials, bear a mark."""
-        if self.special and self.special.search(text):
-            out, at = [], 0
-            for m in self.special.finditer(text):
-                out += [*self._plain(text[at : m.start()]), SPECIAL + m[0]]
-                at = m.end()
-            return out + self._plain(text[at:])
-        return self._plain(text)
-
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        if not text:
-            return []
-        out = CUT.split(text) if SPACED.search(text) else text.replace("\n", " \n").split(" ")
-        out[0] = FIRST + out[0]
-        return out
-
-    def encode(self, texts: list[str]) -> list[list]:
-        """For each text what make gave for each of its stretches, in order."""
+        self.stretches, self.words = Generations(KEPT_STRETCHES), Generations(KEPT_WORDS)
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(codes, distinct stretches, offsets): text i is made up of the stretches codes[offsets[i]:offsets[i + 1]].
+
+        A space between two visible characters starts a pre-token and a newline there is one, so texts are cut before
+        either; specials are stretches of their own.
+        """
+        data, rows = raw_bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.int32), [], np.zeros(len(rows), np.int64)
+        white = _white(data)
+        edges = rows[:-1][np.diff(rows) > 0]
+        first = np.zeros(len(data), bool)
+        first[edges] = True
+        apart = []
+        if self.special:
+            apart = [m.span() for m in self.special.finditer(data.tobytes()) if not first[m.start() + 1 : m.end()].any()]
+            for lo, hi in apart:
+                white[lo:hi] = True
+        at = np.flatnonzero((data == 32) | (data == 10))
+        at = at[(at > 0) & (at < len(data) - 1)]
+        at = at[~white[at - 1] & ~white[at + 1] & ~first[at] & ~first[at + 1]]
+        first[at] = True
+        for lo, hi in apart:
+            first[lo] = True
+            if hi < len(data):
+                first[hi] = True
+        starts = np.flatnonzero(first)
+        codes, distinct = pieces_of(data, starts)
+        return codes, distinct.to_pylist(), np.searchsorted(starts, rows)
+
+    def made(self, distinct: list[bytes]) -> list:
+        """What is made for each of distinct stretches."""
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the caches are large
         try:
-            cut, known = [self._cut(t) for t in texts], self.known
-            fresh = set().union(*cut).difference(known)
-            if fresh:
-                aged = {s: self.aged[s] for s in fresh if s in self.aged}
-                known |= aged
-                new = self._encode_fresh(fresh.difference(aged))
-                known |= new
-                self.held += 340 * (len(aged) + len(new)) + 6 * sum(map(len, new))
-            out = [list(map(known.__getitem__, row)) for row in cut]
-            for s in [s for s in fresh if len(s) > LONG]:
-                del known[s]
-            if self.held > CACHE_BYTES:  # what is met again within one more generation stays
-                self.aged, self.known, self.held = known, {}, 0
+            known = self.stretches.find(distinct)
+            self._encode_fresh([s for s in distinct if s not in known], known)
+            out = [known[s] for s in distinct]
+            self.stretches.turn(s for s in distinct if len(s) > LONG)
             return out
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode_fresh(self, fresh: set[str]) -> dict[str, object]:
-        out, words = {}, {}
-        for s in fresh:
-            if s.startswith(SPECIAL):
-                out[s] = self.make((self.v.specials[s[len(SPECIAL) :]],))
-            else:
-                words[s] = self.split.findall(s[len(FIRST) :] if s[0] == FIRST else s if s[0] == "\n" else " " + s)
-        ids = {w.decode(): i for w, i in self.trie.encode_words({w.encode() for w in set().union(*words.values())})}
-        for s, ws in words.items():
-            out[s] = self.make(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]])
-        return out
+    def _words(self, stretch: bytes) -> list[bytes]:
+        """The pre-tokens of a stretch; those of a space, ASCII letters and marks after them need no pattern."""
+        head = stretch.rstrip(MARKS)
+        if head.isalpha() or head[:1] == b" " and head[1:].isalpha():
+            return [head, stretch[len(head) :]] if len(head) < len(stretch) else [stretch]
+        return [w.encode() for w in self.split.findall(stretch.decode())]
+
+    def _encode_fresh(self, fresh: list[bytes], known: dict) -> None:
+        make = self.make
+        for s in [s for s in fresh if s in self.specials]:
+            known[s] = make((self.specials[s],))
+        cut = {s: self._words(s) for s in fresh if s not in self.specials}
+        made = self.words.find(wanted := set().union(*cut.values()))
+        # one walk over the trie of all words that are new
+        for word, ids in self.trie.encode_words(wanted.difference(made)):
+            made[word] = make(ids)
+        for s, ws in cut.items():
+            out = made[ws[0]]
+            for w in ws[1:]:
+                out = tuple([a + b for a, b in zip(out, made[w])])
+            known[s] = out
+        self.words.turn(w for w in wanted if len(w) > LONG)
+
+    def encode(self, texts: list[str]) -> list[list]:
+        """For each text the first part of what was made for each of its stretches, in order."""
+        codes, distinct, rows = self.cut(pa.array(texts, pa.large_string()))
+        made = self.made(distinct)
+        return [[made[c][0] for c in codes[a:b]] for a, b in zip(rows, rows[1:])]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Generations:
+    """A memory of two generations: what is not met again within one more generation is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def find(self, keys: Iterable) -> dict:
+        """The memory, in which those of keys that are known can be found."""
+        young, old = self.young, self.old
+        if old:
+            young.update((k, old[k]) for k in keys if k in old and k not in young)
+        return young
+
+    def turn(self, long: Iterable) -> None:
+        for k in long:
+            self.young.pop(k, None)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space as \\s sees it in UTF-8."""
+    out = _ASCII_WHITE[data]
+    at = np.flatnonzero(_LEADS[data])
+    if len(at):
+        at = at[at < len(data) - 1]
+        two = at[(data[at] == 0xC2) & ((data[at + 1] == 0x85) | (data[at + 1] == 0xA0))]
+        out[two] = out[two + 1] = True
+        at = at[(data[at] != 0xC2) & (at < len(data) - 2)]
+        code = (data[at].astype(np.int32) & 15) << 12 | (data[at + 1].astype(np.int32) & 63) << 6 | (data[at + 2] & 63)
+        three = at[np.isin(code, _WIDE_WHITE)]
+        out[three] = out[three + 1] = out[three + 2] = True
+    return out
+
+
 def _definition(tokenizer: str) -> str:
     with open(tokenizer, encoding="utf-8") as f:
         return f.read()
 
 
-def _batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Rows of a batch, cut into runs of bounded text."""
-    keys, texts, held = [], [], 0
-    for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        keys.append(k)
-        texts.append(t)
-        held += len(t)
-        if held > chars:
-            yield keys, texts
-            keys, texts, held = [], [], 0
-    if keys:
-        yield keys, texts
-
-
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids array<int>) of every row's whole text; null and empty texts have no ids.
 
@@ -238,11 +283,13 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     definition = _definition(tokenizer)
 
     def run(batches):
-        enc = TextEncoder(definition)
+        enc = TextEncoder(definition, lambda ids: (array("i", ids).tobytes(),))
         for b in batches:
-            for keys, texts in _batches(b):
-                ids = [[i for s in row for i in s] for row in enc.encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for lo, hi in text_runs(b.column(1)):
+                codes, distinct, rows = enc.cut(b.column(1).slice(lo, hi - lo))
+                ends, data = _joined([m[0] for m in enc.made(distinct)], codes, rows)
+                ids = pa.ListArray.from_arrays(pa.array(ends // 4, pa.int32()), pa.array(np.frombuffer(data, np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -260,16 +307,24 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _joined(parts: list[bytes], codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """(offsets, bytes) of each row's parts, one after another: row i has bytes[offsets[i]:offsets[i + 1]]."""
+    if not len(codes):
+        return np.zeros(len(rows), np.int64), memoryview(b"")
+    data, ends = raw_bytes(pa.array(parts, pa.large_binary()).take(pa.array(codes)))
+    return ends[rows], memoryview(data)
+
+
 _kept: dict[str, TextEncoder] = {}
 
 
 def _of_worker(definition: str) -> TextEncoder:
-    """The encoder that a Python worker keeps from task to task; its stretches give (n ids, ids as text, decoded bytes)."""
+    """The encoder that a Python worker keeps from task to task; its words give (n ids, ids as text, decoded bytes)."""
     if definition not in _kept:
         _kept.clear()
         enc = TextEncoder(definition)
-        digits = {i: str(i).encode() for i in enc.v.bytes}
-        enc.make = lambda ids: (len(ids), b",".join(map(digits.__getitem__, ids)), b"".join(map(enc.v.bytes.__getitem__, ids)))
+        digits = {i: f"{i},".encode() for i in enc.v.bytes}
+        enc.make = lambda ids: (len(ids), b"".join(map(digits.__getitem__, ids)), b"".join(map(enc.v.bytes.__getitem__, ids)))
         _kept[definition] = enc
     return _kept[definition]
 
@@ -284,15 +339,17 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         enc = _of_worker(definition)
         for b in batches:
-            for keys, texts in _batches(b):
-                rows = []
-                for row in enc.encode(texts):
-                    n, shown, decoded = zip(*row) if row else ((), (), ())
-                    text = b"".join(decoded).decode("utf-8", "replace")
-                    rows.append((sum(n), hashlib.sha256(b",".join(shown)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-                n, a, d = zip(*rows)
+            for lo, hi in text_runs(b.column(1)):
+                codes, distinct, rows = enc.cut(b.column(1).slice(lo, hi - lo))
+                n, shown, decoded = zip(*enc.made(distinct)) if distinct else ((), (), ())
+                total = np.append(0, np.cumsum(np.array(n, np.int64)[codes]))[rows]
+                at, ids = _joined(shown, codes, rows)
+                a = [hashlib.sha256(ids[i : max(i, j - 1)]).hexdigest() for i, j in zip(at, at[1:])]  # without the last comma
+                at, ids = _joined(decoded, codes, rows)
+                d = [hashlib.sha256(str(ids[i:j], "utf-8", "replace").encode()).hexdigest() for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(total), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(

@@ -1,4 +1,4 @@
-"""Pieces that several operators share: the shared folder, staged tables, hashing, components."""
+"""Pieces that several operators share: the shared folder, staged tables, hashing, words of texts, components."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
+def staged(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: the lineage ends there, and lost executors cost nothing.
+
+    Values of the columns `by` get folders of their own, so that reading some leaves the rest alone.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def discard(df: DataFrame) -> None:
@@ -63,6 +68,63 @@ def id_hash(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
+# ---- texts of an Arrow batch as bytes -------------------------------------------------------------------------------
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of text that are looked at together.
+RUN_BYTES = 8 << 20
+
+
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of strings without nulls: text i is bytes[offsets[i]:offsets[i + 1]]."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = texts.buffers()
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return held, offsets - offsets[0]
+
+
+def text_runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about `most` bytes together; a longer text is a run of its own."""
+    _, offsets = raw_bytes(texts)
+    at = 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, until
+        at = until
+
+
+def pieces_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each piece, distinct pieces) of bytes cut at ascending starts, the first of which is 0."""
+    n = len(starts)
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = array.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(codes, distinct words, offsets): words `[^\x20\x09-\x0D]+` of texts with A-Z in lower case; those of text i are
+    codes[offsets[i]:offsets[i + 1]]."""
+    data, rows = raw_bytes(texts)
+    white = _WHITE[data]
+    start = ~white
+    inside = start.copy()
+    start[1:] &= white[:-1]
+    first = rows[:-1][rows[:-1] < len(data)]
+    start[first] = inside[first]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.zeros(0, np.int32), [], np.zeros(len(rows), np.int64)
+    kept = np.cumsum(inside, dtype=np.int64)[at] - 1
+    codes, distinct = pieces_of(_LOWER[data[inside]], kept)
+    return codes, distinct.to_pylist(), np.searchsorted(at, rows)
+
+
 #: Edges that one task contracts at a time.
 PART = 400_000
 
