@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational_queries, report_queries, series_queries, text_queries
+from . import census_queries, relational_queries, report_queries, series_queries, source_queries, text_queries
 
-MODULES = (series_queries, relational_queries, text_queries, report_queries)
+MODULES = (series_queries, relational_queries, text_queries, report_queries, census_queries, source_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +37,18 @@ def write_census(census: DataFrame, path: str, export: str | None = None) -> Non
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """texts(track_id, flag, text) in folders by the bucket of flag's row number."""
+    """texts(track_id, flag, text, n) in folders by the bucket of n, the text's number among all."""
     first, second = bucket(F.col("n"))
     texts.withColumns({"first": first, "second": second}).write.mode("overwrite").partitionBy("first", "second").parquet(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model in its own format, replacing what is there; load it with its class's load()."""
+    model.write().overwrite().save(path)
+
+
+def log_run(spark: SparkSession, path: str, name: str, **parameters: object) -> DataFrame:
+    """The table of runs at path, (name, at, parameters as JSON), with this one added."""
+    row = spark.createDataFrame([(name, json.dumps(parameters, sort_keys=True, default=str))], "name string, parameters string").withColumn("at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(row.schema).parquet(path)

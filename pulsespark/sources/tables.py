@@ -18,7 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _track_id(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("track_id", F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[A-Za-z]+)?$", 1))
+    # names come with spaces and the like escaped, but plus signs as they are
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("track_id", F.regexp_extract(name, r"^(.*?)(\.[A-Za-z]+)?$", 1))
 
 
 def reviews_json(spark: SparkSession, path: str) -> DataFrame:
