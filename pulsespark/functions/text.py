@@ -67,21 +67,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
 
 
-def filter_tokens(words: Column, stop: Sequence[str] = (), skip: str = "", marks: Sequence[str] = ("第",)) -> Column:
-    """Lower-cased words that say something: two characters or more, not one character repeated, not a number, no dot, no
+def says(w: Column, stop: Sequence[str] = (), skip: str = "", marks: Sequence[str] = ("第",)) -> Column:
+    """Whether a lower-cased word says something: two characters or more, not one character repeated, not a number, no dot, no
     stop word or mark, and no skip character in words of two."""
-    skips = [c for c in skip]
-    stops = F.array(*(F.lit(s) for s in stop)) if stop else F.array().cast("array<string>")
+    ok = (F.length(w) >= 2) & ~w.isin(list(stop)) & ~F.contains(w, F.lit("."))
+    for m in marks:
+        ok &= ~F.contains(w, F.lit(m))
+    if skip:
+        ok &= ~((F.length(w) == 2) & F.exists(F.split(w, ""), lambda c: c.isin(list(skip))))
+    return ok & ~w.rlike(r"^(?:[0-9]+|(?s:(.)\1*))$")
 
-    def keep(w: Column) -> Column:
-        ok = (F.length(w) >= 2) & (F.size(F.array_distinct(F.split(w, ""))) > 1) & ~w.rlike(r"^[0-9]+$") & ~F.contains(w, F.lit("."))
-        if skips:
-            ok &= ~((F.length(w) == 2) & F.exists(F.split(w, ""), lambda c: c.isin(skips)))
-        for m in marks:
-            ok &= ~F.contains(w, F.lit(m))
-        return ok & ~F.array_contains(stops, w)
 
-    return F.filter(F.transform(words, F.lower), keep)
+def filter_tokens(words: Column, stop: Sequence[str] = (), skip: str = "", marks: Sequence[str] = ("第",)) -> Column:
+    """The lower-cased words that say something."""
+    return F.filter(F.transform(words, F.lower), lambda w: says(w, stop, skip, marks))
 
 
 def sentences(text: Column, least: int = 3) -> Column:
@@ -104,8 +103,10 @@ def bigrams(words: Column, stop: Sequence[str] = (), script: str = r"\p{IsHan}",
 
     def keep(p: Column) -> Column:
         joined = F.concat(p["a"], p["b"])
-        ok = joined.rlike(script) & (letters(p["a"]) != letters(p["b"])) & (F.length(joined) < below)
-        return ok & ~p["a"].isin(stops) & ~p["b"].isin(stops) if stops else ok
+        ok = F.length(joined) < below  # what costs least and rules out most goes first
+        if stops:
+            ok &= ~p["a"].isin(stops) & ~p["b"].isin(stops)
+        return ok & joined.rlike(script) & (letters(p["a"]) != letters(p["b"]))
 
     return F.transform(F.filter(pairs, keep), lambda p: F.concat(p["a"], p["b"]))
 

@@ -22,34 +22,48 @@ def _by_key(series: DataFrame, find) -> DataFrame:
     return series.select("key", "idx", "y").groupBy("key").applyInPandas(run, _OUT)
 
 
-def _rbf_costs(y: np.ndarray):
-    """Cost of a segment under the Gaussian kernel: its length less the mean of its kernel values, from a summed-area table."""
-    d = np.square(y[:, None] - y[None, :])
-    positive = d[d > 0]
-    gram = np.exp(-np.clip(d / (np.median(positive) if len(positive) else 1.0), 1e-2, 1e2))
-    area = np.zeros((len(y) + 1, len(y) + 1))
-    area[1:, 1:] = gram.cumsum(0).cumsum(1)
-    return lambda a, b: (b - a) - (area[b, b] - area[a, b] - area[b, a] + area[a, a]) / (b - a)
-
-
-def pelt(series: DataFrame, penalty: float = 10, least: int = 2, most: int = 4000) -> DataFrame:
-    """Optimal segmentation for a penalty with pruning; the kernel needs a square table, so longer series than `most` are refused."""
+def _middle_distance(y: np.ndarray) -> float:
+    """The median of the positive squared distances of all pairs, from the distinct values and how often each occurs."""
+    values, times = np.unique(y, return_counts=True)
+    if len(values) < 2:
+        return 1.0
+    gaps: dict[float, int] = {}
+    for i in range(len(values) - 1):
+        found, at = np.unique(np.square(values[i + 1 :] - values[i]), return_inverse=True)
+        for gap, n in zip(found.tolist(), np.bincount(at, times[i + 1 :] * times[i]).tolist()):
+            gaps[gap] = gaps.get(gap, 0) + int(n)
+    order = sorted(gaps)
+    upto = np.cumsum([gaps[g] for g in order])
+    half = upto[-1] / 2
+    low, high = order[int(np.searchsorted(upto, half, "left"))], order[int(np.searchsorted(upto, half, "right"))]
+    return (low + high) / 2
+
+
+def pelt(series: DataFrame, penalty: float = 10, least: int = 2) -> DataFrame:
+    """Optimal segmentation for a penalty with pruning under the Gaussian kernel.
+
+    A segment costs its length less the mean of its kernel values.  The sums of kernel values from each start to the present
+    place grow by one row of the kernel a place, so memory is linear in the series and time its square.
+    """
 
     def find(y: np.ndarray) -> list[int]:
         n = len(y)
-        if n > most:
-            raise ValueError(f"a series of {n} places is longer than {most}")
-        cost, best, last, live = _rbf_costs(y), np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
+        scale, best, last, live = _middle_distance(y), np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(1, int)
         best[0] = -penalty
-        for t in range(least, n + 1):
-            starts = [s for s in live if t - s >= least]
-            total = np.array([best[s] + cost(s, t) + penalty for s in starts])
-            if len(total):
+        inside = np.zeros(n + 1)
+        for t in range(1, n + 1):
+            row = np.exp(-np.clip(np.square(y[:t] - y[t - 1]) / scale, 1e-2, 1e2))
+            inside[:t] += 2 * row[::-1].cumsum()[::-1] - row[-1]
+            if t < least:
+                continue
+            starts = live[t - live >= least]
+            if len(starts):
+                total = best[starts] + (t - starts) - inside[starts] / (t - starts) + penalty
                 i = int(total.argmin())
                 best[t], last[t] = total[i], starts[i]
-                gone = {s for s, v in zip(starts, total) if v - penalty > best[t]}
-                live = [s for s in live if s not in gone]
-            live.append(t - least + 1) if t - least + 1 > 0 else None
+                live = np.setdiff1d(live, starts[total - penalty > best[t]], assume_unique=True)
+            if t - least + 1 > 0:
+                live = np.append(live, t - least + 1)
         out, t = [], n
         while t and last[t]:
             t = int(last[t])

@@ -100,39 +100,96 @@ def _merge(clusters: list[_Cluster], vectors: dict[str, np.ndarray], affinity: f
     return queue
 
 
-def classify(tags: DataFrame, clusters: DataFrame, key: str = "doc_id", least: float = 0.7, heads: int = 5) -> DataFrame:
+def classify(tags: DataFrame, clusters: DataFrame, key: str = "doc_id", least: float = 0.7, heads: int = 5, few: int = 10_000) -> DataFrame:
     """(key, clusters): the distinct clusters that the tags(key, vec) vote for; (0, others) without a vote.
 
     clusters(rank, center, vecs) hold the vectors of their first tags.  A tag votes for the first cluster of the greatest
-    cosine, if that is at least `least`.  Clusters are a few dozen, so they are sent to the tags.
+    cosine, if that is at least `least`.  Clusters are sent to the tags where they are `few` at most, which are counted first;
+    more of them meet the tags block by block.
     """
-    bounded = clusters.select("rank", "center", F.slice("vecs", 1, heads).alias("vecs")).limit(10_000)
-    met = tags.crossJoin(F.broadcast(bounded)).withColumn("sim", F.array_max(F.transform("vecs", lambda v: F.round(cosine(F.col("vec"), v), 9))))
+    told = clusters.select("rank", "center", F.slice("vecs", 1, heads).alias("vecs"))
+    if told.limit(few + 1).count() <= few:
+        told = F.broadcast(told)
+    met = tags.crossJoin(told).withColumn("sim", F.array_max(F.transform("vecs", lambda v: F.round(cosine(F.col("vec"), v), 9))))
     votes = met.groupBy(key, "tag").agg(F.max_by(F.struct(F.col("rank").alias("num"), "center"), F.struct("sim", -F.col("rank"))).alias("c"), F.max("sim").alias("sim"))
     chosen = votes.groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("sim") >= least, F.col("c")))).alias("clusters"))
     others = F.array(F.struct(F.lit(0).cast("long").alias("num"), F.lit("others").alias("center")))
     return chosen.withColumn("clusters", F.when(F.size("clusters") > 0, F.col("clusters")).otherwise(others))
 
 
-def within(points: DataFrame, eps: float) -> DataFrame:
-    """(id, other) of points(id, vec) at most eps apart, each with itself: a point meets the points of its own and the
-    neighbouring cells of a grid over the first two coordinates, and the distance decides."""
-    cell = lambda i: F.floor(F.coalesce(F.get("vec", F.lit(i)), F.lit(0.0)) / eps)
-    a = points.select("id", "vec", cell(0).alias("x"), cell(1).alias("y"))
-    around = F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    b = a.select(F.col("id").alias("other"), F.col("vec").alias("w"), F.explode(around).alias("c")).select("other", "w", "c.x", "c.y")
-    return a.join(b, ["x", "y"]).where(l2("vec", "w") <= eps).select("id", "other")
+#: Points of a block, of which a task compares two.
+BLOCK = 1024
+
+
+def _paired(points: DataFrame, blocks: int) -> DataFrame:
+    """points(id, ...) in every pair (p, q) of blocks, p <= q, that theirs is part of: side 0 in p, side 1 in q, a block with
+    itself once."""
+    dealt = points.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    first = dealt.withColumn("q", F.explode(F.sequence("own", F.lit(blocks - 1).cast("long")))).withColumnRenamed("own", "p").withColumn("side", F.lit(0))
+    second = dealt.where("own > 0").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))).withColumnRenamed("own", "q").withColumn("side", F.lit(1))
+    return first.unionByName(second)
+
+
+def _compare(points: DataFrame, blocks: int, eps: float, schema: str, meet) -> DataFrame:
+    """What meet(a, b, near, same) gives for each pair of blocks: the rows of both, and which of them lie at most eps apart."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        same = not len(b) and int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0])
+        b = a if same else b
+        if not len(a) or not len(b):
+            return meet(a, b, np.zeros((len(a), len(b)), bool), same)
+        v, w = np.stack(a["vec"]).astype(float), np.stack(b["vec"]).astype(float)
+        square = np.square(v).sum(1)[:, None] + np.square(w).sum(1)[None, :] - 2 * v @ w.T
+        close = np.abs(square - eps * eps) < 1e-9 * (1 + eps * eps)  # where rounding could decide, the differences do
+        i, j = np.nonzero(close)
+        square[i, j] = np.square(v[i] - w[j]).sum(1)
+        return meet(a, b, square <= eps * eps, same)
+
+    return _paired(points, blocks).groupBy("p", "q").applyInPandas(run, schema)
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(id, label) of points(id, vec): density clusters by Euclidean distance, -1 for noise.
 
-    Labels follow the clusters' smallest core id; a border point takes the first cluster that reaches it.  Labels spread by
-    minima along the links of core points, each round checkpointed, until none changes.
+    Labels follow the clusters' smallest core id; a border point takes the first cluster that reaches it.  All points meet,
+    block against block inside tasks, which give counts of neighbours, then links that unite core points, then what border
+    points are reached by, never the pairs themselves.  Labels spread by minima along those links, each round checkpointed,
+    until none changes.
     """
-    near = within(points, eps).checkpoint()
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    links = near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other").select("id", "other").checkpoint()
+    points = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    blocks = max(1, -(-points.count() // BLOCK))
+
+    def count(a, b, near, same):
+        parts = [(a["id"], near.sum(1))] if same else [(a["id"], near.sum(1)), (b["id"], near.sum(0))]
+        return pd.DataFrame({"id": np.concatenate([i for i, _ in parts]).astype("int64"), "n": np.concatenate([n for _, n in parts]).astype("int64")})
+
+    def unite(a, b, near, same):
+        ids, edges = np.concatenate([a["id"], b["id"]]), []
+        root = np.arange(len(ids))
+        if same:
+            root[len(a) :] = root[: len(a)]
+        for r in range(len(a)):
+            for other in np.unique(root[len(a) + np.flatnonzero(near[r])]):
+                mine = root[r]
+                if other != mine:
+                    edges.append((ids[mine], ids[other]))
+                    root[root == max(mine, other)] = min(mine, other)
+        return pd.DataFrame(edges, columns=["id", "other"], dtype="int64")
+
+    def reach(a, b, near, same):
+        out = []
+        for x, y, m in ((a, b, near),) if same else ((a, b, near), (b, a, near.T)):
+            core, border = (y["num"] >= 0).to_numpy(), (x["num"] < 0).to_numpy()
+            lowest = np.where(m[border][:, core], y["num"].to_numpy()[core], np.iinfo(np.int64).max)
+            least = lowest.min(1, initial=np.iinfo(np.int64).max)
+            hit = least < np.iinfo(np.int64).max
+            out.append(pd.DataFrame({"id": x["id"].to_numpy()[border][hit], "reach": least[hit]}))
+        return pd.concat(out)
+
+    core = _compare(points, blocks, eps, "id long, n long", count).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id").checkpoint()
+    spanning = _compare(points.join(core, "id"), blocks, eps, "id long, other long", unite)
+    links = spanning.union(spanning.select("other", "id")).union(core.select("id", F.col("id").alias("other"))).distinct().checkpoint()
     label = core.select("id", F.col("id").alias("label"))
     while True:
         lowest = links.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("label"))
@@ -141,11 +198,10 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
         label = jumped
         if not changed:
             break
-    order = label.select("label").distinct().withColumn("num", F.dense_rank().over(Window.orderBy("label")).cast("long") - 1)
-    numbered = label.join(F.broadcast(order), "label").select("id", "num")
-    reached = near.join(numbered.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("num").alias("reach"))
-    out = points.select("id").join(numbered, "id", "left").join(reached, "id", "left")
-    return out.select("id", F.coalesce("num", "reach", F.lit(-1)).alias("label"))
+    order = label.select("label").distinct().withColumn("num", F.dense_rank().over(Window.orderBy("label")).cast("long") - 1)  # a row a cluster
+    numbered = points.join(label.join(order, "label").select("id", "num"), "id", "left").withColumn("num", F.coalesce("num", F.lit(-1))).checkpoint()
+    reached = _compare(numbered, blocks, eps, "id long, reach long", reach).groupBy("id").agg(F.min("reach").alias("reach"))
+    return numbered.select("id", "num").join(reached, "id", "left").select("id", F.when(F.col("num") >= 0, F.col("num")).otherwise(F.coalesce("reach", F.lit(-1))).alias("label"))
 
 
 def cluster_report(members: DataFrame, show: int = 5) -> DataFrame:

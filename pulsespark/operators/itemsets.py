@@ -29,10 +29,12 @@ def report(itemsets: DataFrame) -> DataFrame:
 def rules(itemsets: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """(antecedent, consequent, confidence) with consequents of any size: proper subsets A of a frequent I with f(I) / f(A) high enough.
 
-    Subsets are enumerated inside each itemset by bit masks and joined by equality, so itemsets of n items cost 2^n - 2 rows.
+    Subsets are enumerated inside each itemset by bit masks and joined by equality, so itemsets of n items cost 2^n - 2 rows;
+    those of more than 30 items, which cost a thousand million, end in an error.
     """
     big = itemsets.where("size(items) > 1").select(F.col("items").alias("all"), F.col("freq").alias("f_all"))
-    mask = big.select("*", F.explode(F.expr("sequence(1, cast(shiftleft(1, size(`all`)) as int) - 2)")).alias("mask"))
+    most = "if(size(`all`) <= 30, shiftleft(1L, size(`all`)) - 2, raise_error('an itemset of more than 30 items'))"
+    mask = big.select("*", F.explode(F.expr(f"sequence(1L, {most})")).alias("mask"))
     ante = mask.select("all", "f_all", F.expr("filter(`all`, (x, i) -> getbit(mask, i) = 1)").alias("items"))
     met = ante.join(itemsets.select("items", "freq"), "items").withColumn("confidence", F.col("f_all") / F.col("freq")).where(F.col("confidence") >= min_confidence)
     return met.select(F.col("items").alias("antecedent"), F.array_except("all", "items").alias("consequent"), "confidence")

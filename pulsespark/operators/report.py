@@ -28,7 +28,7 @@ def lonely(census: DataFrame) -> DataFrame:
 def event_topic_share(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     """Shares of events and topics among counts(cluster, n) by kinds(cluster, kind)."""
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
-    both = counts.join(F.broadcast(kinds.limit(100_000)), "cluster").agg(of("event").alias("events"), of("topic").alias("topics"))
+    both = counts.join(kinds, "cluster").agg(of("event").alias("events"), of("topic").alias("topics"))
     total = F.col("events") + F.col("topics")
     return both.select("events", "topics", F.round(F.try_divide("events", total), 6).alias("event_share"), F.round(F.try_divide("topics", total), 6).alias("topic_share"))
 

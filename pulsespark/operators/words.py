@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,14 @@ from pyspark.sql.window import Window
 from ..functions.vectors import cosine
 
 
-def top_words(docs: DataFrame, words: Column, k: int = 8) -> DataFrame:
-    """(doc_id, rank, word, n): the most frequent words of each document, ties in the order of first sight."""
+def top_words(docs: DataFrame, words: Column, k: int = 8, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, rank, word, n): the most frequent words of each document, ties in the order of first sight.
+
+    Of the words only those that keep holds for count; it is asked once for each distinct word of a document.
+    """
     counted = docs.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    if keep:
+        counted = counted.where(keep(F.col("word")))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")).cast("long"))
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "word", "n")
 
@@ -24,11 +30,12 @@ def top_grams(docs: DataFrame, grams: Column, k: int = 10, least: int = 30) -> D
 
 
 def consolidate(grams: DataFrame, fragments: Sequence[str]) -> DataFrame:
-    """Distinct grams that hold none of the fragments."""
+    """Distinct grams that hold none of the fragments, which are one pattern however many there are."""
     out = grams.select("word").distinct()
-    for f in fragments:
-        out = out.where(~F.contains("word", F.lit(f)))
-    return out
+    held = [f for f in fragments if f]
+    if len(held) < len(fragments):  # every gram holds an empty fragment
+        return out.limit(0)
+    return out.where(~F.col("word").rlike("|".join(re.escape(f) for f in held))) if held else out
 
 
 def term_counts(docs: DataFrame, words: Column) -> DataFrame:
@@ -41,9 +48,10 @@ def dictionary(counts: DataFrame, docs: int, no_below: int = 30, no_above: float
     return df.orderBy(F.desc("df"), "word").limit(keep)
 
 
-def tf_idf(counts: DataFrame, words: DataFrame, docs: int) -> DataFrame:
-    """(doc_id, word, weight): tf * log2(N / df), each document scaled to length 1."""
-    raw = counts.join(words, "word").withColumn("w", F.col("tf") * F.log2(F.lit(float(docs)) / F.col("df")))
+def tf_idf(counts: DataFrame, words: DataFrame, docs: int, few: bool = False) -> DataFrame:
+    """(doc_id, word, weight): tf * log2(N / df), each document scaled to length 1; few: words come from dictionary(), which
+    bounds their number, and are sent to the counts."""
+    raw = counts.join(F.broadcast(words) if few else words, "word").withColumn("w", F.col("tf") * F.log2(F.lit(float(docs)) / F.col("df")))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.withColumn("weight", F.try_divide("w", length)).select("doc_id", "word", "weight")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import changepoint, cluster, embed, influence, itemsets, report
 from ..operators import series as S
@@ -80,8 +81,12 @@ def _classify(spark, d):
     return got.select("doc_id", F.array_join(F.transform("clusters", lambda c: F.concat_ws(":", c["num"].cast("string"), c["center"])), "|").alias("clusters"))
 
 
+#: Of the test tables' vectors of length 1, some in a hundred pairs are as near.
+EPS = 1.15
+
+
 def _points(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 8).alias("vec"), "label")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
 def _checkpointed(spark: SparkSession) -> None:
@@ -93,7 +98,7 @@ def _checkpointed(spark: SparkSession) -> None:
 
 def _dbscan(spark, d):
     _checkpointed(spark)
-    return cluster.dbscan(_points(spark, d), 0.75, 5)
+    return cluster.dbscan(_points(spark, d), EPS, 5)
 
 
 def _cluster_report(spark, d):
@@ -116,6 +121,12 @@ def _model(spark, d):
     return embed.train_words(rows, size=16, least=20, rounds=1), rows
 
 
+def _prices(spark, d):
+    """The prices of each brand's parts in the order of their numbers, which rise: events and orders keep their pace throughout."""
+    parts = table(spark, d, "part")
+    return parts.select(F.col("p_brand").alias("key"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("idx"), F.col("p_retailprice").alias("y"))
+
+
 def _windows(spark, d):
     return S.influence_windows(SQ._extents(spark, d).where("y >= 9"), SQ.hourly(spark, d), 20)
 
@@ -149,11 +160,11 @@ QUERIES = {
     "cluster_report": _cluster_report,
     "kmeans_second_level": _kmeans,
     "cluster_label_stats": _label_stats,
-    "cpd_pelt": lambda s, d: changepoint.pelt(SQ.hourly(s, d)),
+    "cpd_pelt": lambda s, d: changepoint.pelt(_prices(s, d)),
     "cpd_binseg": lambda s, d: changepoint.binary_segmentation(SQ.daily(s, d)),
     "cpd_dynp": lambda s, d: changepoint.dynamic(SQ.hourly(s, d)),
     "garch_influence": lambda s, d: influence.garch(_windows(s, d)),
-    "influence_significant": lambda s, d: influence.significant(influence.garch(_windows(s, d)), 1.0),
+    "influence_significant": lambda s, d: influence.significant(influence.garch(_windows(s, d)), 0.2, 0.7),  # loose, as the events keep their pace
     "word2vec_synonyms": lambda s, d: embed.synonyms(_model(s, d)[0], "this"),
     "doc_vectors": lambda s, d: (lambda v: embed.nearest_documents(v, v.where("doc_id = 1")))(embed.document_vectors(*_model(s, d))),
 }
@@ -197,7 +208,7 @@ SELECT antecedent, consequent, round(c, 6) AS confidence FROM r WHERE c >= 0.05"
     "classify_tags": f"""WITH m AS (SELECT e.vec_id % 50 AS doc_id, e.vec_id, h.vec_id % 6 + 1 AS rank, max(round({_COS.format('e.embedding', 'h.embedding')}, 9)) AS sim FROM embeddings e JOIN embeddings h ON h.vec_id < 30 GROUP BY ALL),
 v AS (SELECT doc_id, vec_id, arg_min(rank, [-sim, rank]) AS num, max(sim) AS sim FROM m GROUP BY ALL), c AS (SELECT doc_id, num FROM v WHERE sim >= 0.25 GROUP BY ALL)
 SELECT d.doc_id, coalesce(string_agg(num || ':c' || num, '|' ORDER BY num), '0:others') AS clusters FROM (SELECT DISTINCT doc_id FROM v) d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY 1""",
-    "dbscan": """WITH RECURSIVE p AS (SELECT vec_id AS id, list_transform(embedding[1:3], lambda x: x::DOUBLE * 8) AS vec FROM embeddings), n AS (SELECT a.id, b.id AS other FROM p a JOIN p b ON list_distance(a.vec, b.vec) <= 0.75),
+    "dbscan": """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), n AS (SELECT a.id, b.id AS other FROM p a JOIN p b ON list_distance(a.vec, b.vec) <= 1.15),
 c AS (SELECT id FROM n GROUP BY 1 HAVING count(*) >= 5), l AS (SELECT * FROM n WHERE id IN (FROM c) AND other IN (FROM c)), r(id, reach) AS (SELECT id, id FROM c UNION SELECT r.id, l.other FROM r JOIN l ON l.id = r.reach),
 m AS (SELECT id, min(reach) AS root FROM r GROUP BY 1), k AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS num FROM m), b AS (SELECT n.id, min(k.num) AS reach FROM n JOIN k ON k.id = n.other GROUP BY 1)
 SELECT p.id, coalesce(k.num, b.reach, -1) AS label FROM p LEFT JOIN k ON k.id = p.id LEFT JOIN b ON b.id = p.id""",

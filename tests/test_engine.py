@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsespark.functions import text as X
-from pulsespark.operators import changepoint, cluster, itemsets, relational, report, words
+from pulsespark.operators import census, changepoint, cluster, itemsets, relational, report, words
 from pulsespark.sources import sinks, tables
 from pulsespark.streaming.counts import streaming_counts
 
@@ -92,6 +92,91 @@ def test_dbscan(spark):
     assert got == {**{i: 0 for i in range(6)}, **{10 + i: 1 for i in range(4)}, 99: -1}
 
 
+def plain_dbscan(points, eps, least):
+    near = {i: [j for j, w in points if math.dist(v, w) <= eps] for i, v in points}
+    core, label, num = {i for i in near if len(near[i]) >= least}, {}, 0
+    for i in sorted(core):
+        if i not in label:
+            queue = [i]
+            while queue:
+                x = queue.pop()
+                if x not in label:
+                    label[x] = num
+                    queue += [j for j in near[x] if j in core]
+            num += 1
+    reached = {i: min((label[j] for j in near[i] if j in core), default=-1) for i in near}
+    return {i: label.get(i, reached[i]) for i in near}
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_dbscan_of_whole_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    rng = random.Random(6)
+    centers = [[rng.uniform(-3, 3) for _ in range(12)] for _ in range(5)]
+    points = [(3 * i + 1, [c + rng.gauss(0, 0.5) for c in rng.choice(centers)]) for i in range(90)] + [(1000, [9.0] * 12)]
+    got = {r.id: r.label for r in cluster.dbscan(spark.createDataFrame(points, "id long, vec array<double>"), 2.0, 4).collect()}
+    want = plain_dbscan(points, 2.0, 4)
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_classify_with_more_clusters_than_are_sent(spark):
+    tags = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "y", [0.0, 1.0])], "doc_id long, tag string, vec array<double>")
+    heads = spark.createDataFrame([(i, f"c{i}", [[0.1, float(i)]]) for i in range(1, 8)] + [(8, "c8", [[1.0, 0.1]])], "rank long, center string, vecs array<array<double>>")
+    got = {r.doc_id: [tuple(c) for c in r.clusters] for r in cluster.classify(tags, heads, few=3).collect()}
+    assert got == {1: [(8, "c8")], 2: [(7, "c7")]}
+
+
+def test_rules_of_large_sets(spark):
+    big = spark.createDataFrame([([f"i{k}" for k in range(31)], 3)], "items array<string>, freq long")
+    with pytest.raises(Exception, match="more than 30 items"):
+        itemsets.rules(big).collect()
+
+
+def test_consolidate(spark):
+    grams = spark.createDataFrame([("a.b",), ("axb",), ("c+",), ("a.b",), ("d",)], "word string")
+    assert sorted(r.word for r in words.consolidate(grams, ("a.b", "+")).collect()) == ["axb", "d"]
+    assert words.consolidate(grams, ()).count() == 4 and words.consolidate(grams, ("q", "")).count() == 0
+
+
+def test_kernel_segmentation_of_a_long_series(spark):
+    y = [3.0 + (i * 7 % 5) for i in range(2500)] + [40.0 + (i * 7 % 5) for i in range(2600)]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(y)], "key string, idx long, y double")
+    assert [r.at for r in changepoint.pelt(df).collect()] == [2500]
+
+
+def test_census_sets_and_matches(spark):
+    rows = [("a", [(1, "x"), (2, "y")]), ("a", [(3, "z")]), ("b", [(1, "x")]), ("c", [(0, "others")]), ("c", [(2, "y")]), ("d", [(2, "y"), (1, "x")]), ("d", [(2, "y")])]
+    df = spark.createDataFrame(rows, "key string, clusters array<struct<num:long,center:string>>")
+    assert [r["items"] for r in census.sets_across_bursts(df).collect()] == [[1, 3]]
+    assert sorted(r["items"] for r in census.sets_within_bursts(df).collect()) == [[1, 2], [1, 2]]
+    tracks = spark.createDataFrame([(1,), (2,)], "track_id long")
+    files = spark.createDataFrame([(1, "a/1"), (1, "b/1"), (3, "c/3")], "track_id long, path string")
+    assert [tuple(r) for r in census.with_lyrics(tracks, files).collect()] == [(1, "b/1")]
+    values = spark.createDataFrame([(float(v),) for v in (0, 1, 9, 10)], "v double")
+    assert sorted((r.bin, r.n, r.mean) for r in census.histogram(values, "v", 5).collect()) == [(0, 2, 5.0), (4, 2, 5.0)]
+    fits = spark.createDataFrame([("a", 20, -1.0, 0.5), ("b", 20, -1.0, 0.9), ("c", 20, None, None), ("d", 3, -1.0, 0.1)], "label string, n long, slope double, sigma double")
+    assert [(r.label, r.keep_rate) for r in census.kept_fits(fits).collect()] == [("a", 50.0)]
+
+
+def test_features_of_short_and_long_documents(spark):
+    weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.9), (1, "c", 0.1), (2, "d", 1.0)], "doc_id long, word string, weight double")
+    said = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["z"]), (3, [])], "doc_id long, words array<string>")
+    got = sorted((r.doc_id, r["rank"], r.word) for r in census.feature_words(weights, said, 2).collect())
+    assert got == [(1, 1, "b"), (1, 2, "a"), (2, 1, "z")]
+
+
+def test_models_and_runs_are_kept(spark, tmp_path):
+    from pyspark.ml.clustering import KMeans, KMeansModel
+    from pyspark.ml.linalg import Vectors
+
+    model = KMeans(k=2, seed=1).fit(spark.createDataFrame([(Vectors.dense(float(i > 2) * 9),) for i in range(6)], ["features"]))
+    for _ in range(2):
+        sinks.save_model(model, str(tmp_path / "m"))
+    assert len(KMeansModel.load(str(tmp_path / "m")).clusterCenters()) == 2
+    sinks.log_run(spark, str(tmp_path / "runs"), "one", affinity=0.7)
+    assert [(r.name, r.parameters) for r in sinks.log_run(spark, str(tmp_path / "runs"), "two", k=6).orderBy("name").collect()] == [("one", '{"affinity": 0.7}'), ("two", '{"k": 6}')]
+
+
 def test_classify_without_vote(spark):
     tags = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "y", [-1.0, 0.0])], "doc_id long, tag string, vec array<double>")
     heads = spark.createDataFrame([(1, "c", [[1.0, 0.0]])], "rank long, center string, vecs array<array<double>>")

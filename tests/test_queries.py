@@ -10,17 +10,23 @@ duckdb = pytest.importorskip("duckdb")
 from pulsespark.plans.registry import ORACLE_SQL, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SOME = ("hourly_dense_sequence", "peak_heads", "breakout_extent", "tagged_tracks", "top_tags", "tfidf", "frequent_pairs", "association_rules", "power_law_fit", "classify_tags")
+SOME = ("hourly_dense_sequence", "peak_heads", "breakout_extent", "tagged_tracks", "top_tags", "tfidf", "frequent_pairs", "association_rules", "power_law_fit", "classify_tags", "bigrams", "lexicon_consolidate",
+        "cluster_sets_across_breakouts", "tagged_documents", "feature_words", "source_reviews_lines", "source_playlists", "source_text_files", "dbscan")
+LARGER = ("breakout_day_text", "census", "lonely_histogram", "focus_top_shares")
 
 
-@pytest.fixture(scope="module")
-def db():
+def connected(folder):
     con = duckdb.connect()
-    for p in glob.glob(f"{SF}/*.parquet"):
+    for p in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return con
 
 
+@pytest.fixture(scope="module")
+def db():
+    return connected(SF)
+
+
 def canonical(rows):
     show = lambda v: "null" if v is None else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(show(v) for v in r) for r in rows)
@@ -36,6 +42,15 @@ def test_query_equals_sql(spark, db, name):
     assert canonical(df.select(*columns).collect()) == canonical(want.select(*(f'"{c}"' for c in columns)).fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+@pytest.mark.parametrize("name", LARGER)
+def test_query_equals_sql_on_more(spark, name):
+    df, want = QUERIES[name](spark, "/root/testdata/sf0.01"), connected("/root/testdata/sf0.01").sql(ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    got = canonical(df.select(*columns).collect())
+    assert columns == sorted(want.columns) and got == canonical(want.select(*(f'"{c}"' for c in columns)).fetchall()) and got
+
+
 def test_every_sql_has_its_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
