@@ -229,6 +229,43 @@ def kmeans(features: DataFrame, columns: Sequence[str], k: int = 6, seed: int =
     return out.select(*features.columns, "label", *(f"{c}_z" for c in columns))
 
 
+def silhouette(points: DataFrame) -> DataFrame:
+    """(id, label, s) of points(id, vec, label): with a the mean distance to the others of its label and b the least mean distance
+    to those of another, s is (b - a) / max(a, b); 0 for a point alone in its label or without other labels.
+
+    Blocks of points meet inside tasks, which give a sum of distances for each point and label.
+    """
+    points = points.select("id", F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        same = not len(b) and int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0])
+        out = []
+        if len(a) and (same or len(b)):
+            b = a if same else b
+            v, w = np.stack(a["vec"]), np.stack(b["vec"])
+            far = np.sqrt(np.maximum(np.square(v).sum(1)[:, None] + np.square(w).sum(1)[None, :] - 2 * v @ w.T, 0))
+            if same:
+                np.fill_diagonal(far, 0)
+            for x, y, m in ((a, b, far),) if same else ((a, b, far), (b, a, far.T)):
+                labels, which = np.unique(y["label"], return_inverse=True)
+                one = np.eye(len(labels))[which]
+                total, n = m @ one, np.broadcast_to(one.sum(0), (len(x), len(labels))) - same * (x["label"].to_numpy()[:, None] == labels)
+                out.append(pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(labels)), "other": np.tile(labels, len(x)), "total": total.ravel(), "n": n.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["id", "other", "total", "n"])
+
+    met = _paired(points, max(1, -(-points.count() // BLOCK))).groupBy("p", "q").applyInPandas(sums, "id long, other long, total double, n double")
+    means = met.groupBy("id", "other").agg((F.try_divide(F.sum("total"), F.sum("n"))).alias("mean")).join(points.select("id", "label"), "id")
+    own = F.col("other") == F.col("label")
+    both = means.groupBy("id", "label").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
+    return both.select("id", "label", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("s"))
+
+
+def run_name(pool: str, affinity: float, model: str) -> str:
+    """The name of a clustering: its pool, the digits of its affinity and its model."""
+    return f"{pool}_{str(affinity).replace('.', '')}{model}"
+
+
 def label_stats(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, sample deviation, maximum and minimum of the columns by label."""
     return labelled.groupBy("label").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{name}") for c in columns for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max), ("min", F.min))))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import census as C
-from ..operators import itemsets, report, words
+from ..operators import cluster, itemsets, report, words
 from ..sources.tables import table
 from . import report_queries as RQ
 from . import series_queries as SQ
@@ -123,9 +124,18 @@ def C_top(focus: DataFrame, k: int = 30) -> DataFrame:
     return top.crossJoin(F.broadcast(top.agg(F.sum("n").alias("all")))).select("cluster", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))  # a row
 
 
+def _tag_clusters(spark, d):
+    """The census' tags, with a vector each, clustered in the order of bursts."""
+    rows = census(spark, d).select("key", "flag", F.posexplode("tags").alias("pos", "word")).join(vectors(spark, d, TQ.docs(spark, d)), "word")
+    pool = rows.select(F.struct("key", "flag", "pos").alias("seq"), F.col("word").alias("tag"), "vec")
+    ordered = pool.withColumn("seq", F.row_number().over(Window.orderBy("seq")))  # a few tags a burst
+    return RQ._items(cluster.leader_clusters(ordered, 0.6, 0), "tags")
+
+
 QUERIES = {
     "breakout_day_text": _day_text,
     "census": _census,
+    "influence_tag_clusters": _tag_clusters,
     "cluster_sets_across_breakouts": _across,
     "cluster_sets_within_breakouts": _within,
     "lyrics_match": _lyrics,

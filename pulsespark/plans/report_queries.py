@@ -160,6 +160,7 @@ QUERIES = {
     "cluster_report": _cluster_report,
     "kmeans_second_level": _kmeans,
     "cluster_label_stats": _label_stats,
+    "silhouette": lambda s, d: cluster.silhouette(_points(s, d)).withColumn("s", F.round("s", 6)),
     "cpd_pelt": lambda s, d: changepoint.pelt(_prices(s, d)),
     "cpd_binseg": lambda s, d: changepoint.binary_segmentation(SQ.daily(s, d)),
     "cpd_dynp": lambda s, d: changepoint.dynamic(SQ.hourly(s, d)),
@@ -215,5 +216,7 @@ SELECT p.id, coalesce(k.num, b.reach, -1) AS label FROM p LEFT JOIN k ON k.id =
     "cluster_report": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), a AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL), m AS (SELECT label, list(m ORDER BY pos) AS mean FROM a GROUP BY 1),
 f AS (SELECT e.label, vec_id AS id, vec_id % 9 AS n, round(list_distance(embedding::DOUBLE[], mean), 9) AS dist FROM embeddings e JOIN m ON m.label = e.label), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, id) AS r FROM f)
 SELECT label, count(*) AS size, round(avg(n), 6) AS mean_n, arg_min(id, r) AS medoid, string_agg(id::VARCHAR, '+' ORDER BY r) FILTER (r <= 5) AS nearest FROM r GROUP BY 1""",
+    "silhouette": """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label::BIGINT AS label FROM embeddings), m AS (SELECT a.id, a.label, b.label AS other, avg(list_distance(a.vec, b.vec)) AS mean FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL),
+g AS (SELECT id, label, max(mean) FILTER (other = label) AS a, min(mean) FILTER (other <> label) AS b FROM m GROUP BY ALL) SELECT id, label, round(coalesce((b - a) / greatest(a, b), 0), 6) AS s FROM g""",
     "cluster_label_stats": "SELECT c_nationkey AS label, count(*) AS n, round(avg(c_acctbal), 4) AS c_acctbal_mean, round(stddev_samp(c_acctbal), 4) AS c_acctbal_std, round(max(c_acctbal), 4) AS c_acctbal_max, round(min(c_acctbal), 4) AS c_acctbal_min FROM customer GROUP BY 1",
 }

@@ -119,6 +119,22 @@ def test_dbscan_of_whole_vectors(spark, monkeypatch, block):
     assert got == want and len(set(want.values())) > 3
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_silhouette(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    rng = random.Random(2)
+    points = [(i, [rng.gauss(3 * (i % 3), 1) for _ in range(4)], i % 3) for i in range(40)] + [(50, [9.0] * 4, 7)]
+    got = {r.id: r.s for r in cluster.silhouette(spark.createDataFrame(points, "id long, vec array<double>, label long")).collect()}
+    for i, v, label in points:
+        mean = {}
+        for other in {p[2] for p in points}:
+            far = [math.dist(v, w) for j, w, k in points if k == other and j != i]
+            mean[other] = sum(far) / len(far) if far else None
+        a, b = mean.pop(label), min(mean.values())
+        assert got[i] == pytest.approx((b - a) / max(a, b) if a is not None else 0.0)
+    assert cluster.run_name("pool", 0.65, "b1") == "pool_065b1"
+
+
 def test_classify_with_more_clusters_than_are_sent(spark):
     tags = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "y", [0.0, 1.0])], "doc_id long, tag string, vec array<double>")
     heads = spark.createDataFrame([(i, f"c{i}", [[0.1, float(i)]]) for i in range(1, 8)] + [(8, "c8", [[1.0, 0.1]])], "rank long, center string, vecs array<array<double>>")
