@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,10 +49,10 @@ def staged(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a staged table that nothing reads any more."""
+def discard(df: DataFrame, only: str = "") -> None:
+    """Delete the files behind a staged table that nothing reads any more, or those in folders of one value, as "kind=2"."""
     spark = df.sparkSession
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for parent in {p for f in df.inputFiles() if (p := f.rpartition("/")[0]).endswith(only)}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -68,6 +71,20 @@ def id_hash(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
+def resting(run):
+    """run, a function of a task's batches, after which the worker gives freed memory back to the system: workers wait for tasks
+    of their kind beside those that are at work."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other libraries of C have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 # ---- texts of an Arrow batch as bytes -------------------------------------------------------------------------------
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -8,20 +8,22 @@ with c(u) the context's count, n1(u) its distinct successors and p1 the base mod
 starts in a begin state and its end is a token.  The quantisation (steps of 0.04 in log10) moves a probability by less
 than 5 percent, and sums by as little.
 
-Words are 62-bit hashes.  A shard of the trie holds contexts in an Elias-Fano sequence, and their successors as
-(context rank, 40 bits of the word's hash), which is monotone and so another one; a query finds the context, then searches
-successors inside the context's range.  Levels are memory-mapped while they are read.  A context's successors are dealt over
-16 shards, so that a word as frequent as "the" is no shard by itself.
-
-Texts are read in chunks of some two million tokens.  A chunk sends each shard its distinct n-grams with their counts in
-training texts once; the shard, having merged all chunks' counts, answers each in its order with one byte.  So what moves
-is one entry a distinct n-gram and chunk, whatever the number of documents.
+A shard of the trie has four levels in one mapped region: its contexts, pointers to each context's first successor, the
+successors, and their quantised masses.  The first three are Elias-Fano sequences that stay packed while they are read.
+Successors are stored on top of the last value of the context before, which makes the level monotone; a query finds the
+context's rank, reads its two pointers, and searches for the successor relative to that value between them.  A context's
+successors are dealt over 16 shards, so that a word as frequent as "the" is no shard by itself.
+
+Texts are tokenised once, in chunks, and staged: their words in numbers of the chunk, from which its distinct bigrams follow,
+and the chunk's words with their counts in training texts.  Words are counted by their bytes, so counts and the base model are
+exact; bigrams are of hashes (48 bits of the context, 40 of the word).  A shard merges all chunks' counts and answers each
+chunk in its order, with one byte a bigram.  So what moves is one entry a distinct n-gram and chunk, whatever the number of
+documents.
 """
 
 from __future__ import annotations
 
 import mmap
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,29 +34,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, id_hash, staged, table
+from .common import body, coded_words, discard, id_hash, resting, staged, table, text_runs
 
-CHUNK = 2_000_000
 SALTS = 16
 D = 0.75
+#: The states before and after a text: hashes no word has, and names no word can have.
 BEGIN, END = 1, 2
+STATES = (b" begin", b" end")
 STEP, LOWEST = 0.04, -0.62
-WORD_BITS = 40
+HASH_BITS, WORD_BITS = 48, 40
+#: Bytes of text of a chunk; a longer text is a chunk of its own.
+CHUNK = 8 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 # ---- Elias-Fano -----------------------------------------------------------------------------------------------------
+def _place_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of bit k (from 0) among the set bits of each 64-bit word."""
+    place, k = np.zeros(len(word), np.int64), k.astype(np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+        on = k >= below
+        k -= np.where(on, below, 0)
+        place += np.where(on, half, 0)
+        word = np.where(on, word >> np.uint64(half), word)
+    return place
+
+
 class EliasFano:
-    """A non-decreasing sequence of integers below 2**63: low bits packed, high bits in unary."""
+    """An increasing sequence of integers below 2**63: low bits packed, high bits in unary, counts of ones a 64-bit word."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        self.zeros = np.flatnonzero(bits == 0)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
-        """Header (n, low bits, words of low, bytes of high), low, high."""
+        """Header (n, low bits, words of low, words of high), low, high, ones before each word of high."""
         n = len(values)
         values = values.astype(np.uint64)
         bits = max(0, int(np.log2(max(1.0, float(values[-1] if n else 0) / max(n, 1)))))
@@ -66,19 +81,21 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = shift > np.uint64(0)
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        high = (values >> np.uint64(bits)).astype(np.int64)
-        unary = np.zeros(n + (int(high[-1]) if n else 0) + 2, np.uint8)
-        unary[high + np.arange(n)] = 1
-        packed = np.packbits(unary, bitorder="little")
-        return np.array([n, bits, len(low), len(packed)], "<i8").tobytes() + low.astype("<u8").tobytes() + packed.tobytes()
+        place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        unary = np.zeros(((int(place[-1]) if n else 0) // 64 + 1) * 64, np.uint8)
+        unary[place] = 1
+        high = np.packbits(unary, bitorder="little").view("<u8")
+        ones = np.cumsum(np.append(0, np.bitwise_count(high)))[:-1]
+        return np.array([n, bits, len(low), len(high)], "<i8").tobytes() + low.astype("<u8").tobytes() + high.tobytes() + ones.astype("<i8").tobytes()
 
     @classmethod
     def view(cls, buffer, at: int) -> tuple[EliasFano, int]:
-        n, bits, words, size = np.frombuffer(buffer, "<i8", 4, at).tolist()
-        low = np.frombuffer(buffer, "<u8", words, at + 32)
-        return cls(n, bits, low, np.frombuffer(buffer, np.uint8, size, at + 32 + 8 * words)), at + 32 + 8 * words + size
+        n, bits, lows, highs = np.frombuffer(buffer, "<i8", 4, at).tolist()
+        low = np.frombuffer(buffer, "<u8", lows, at := at + 32)
+        high = np.frombuffer(buffer, "<u8", highs, at := at + 8 * lows)
+        return cls(n, bits, low, high, np.frombuffer(buffer, "<i8", highs, at := at + 8 * highs)), at + 8 * highs
 
-    def low_of(self, i: np.ndarray) -> np.ndarray:
+    def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
         at = i.astype(np.uint64) * np.uint64(self.low_bits)
@@ -86,22 +103,37 @@ class EliasFano:
         upper = np.where(shift > np.uint64(0), self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift) | upper) & np.uint64((1 << self.low_bits) - 1)
 
-    def find(self, targets: np.ndarray) -> np.ndarray:
-        """For each target its place, or -1: the high part gives a range, the low parts are searched inside it."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        place = word * 64 + _place_in_word(self.high[word], i - self.ones[word])
+        return (place - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
+    def _up_to(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a high part of at most `high` (-1: none)."""
+        zeros = np.arange(len(self.ones)) * 64 - self.ones
+        k = np.maximum(high, 0)
+        word = np.searchsorted(zeros, k, "right") - 1
+        place = word * 64 + _place_in_word(~self.high[word], k - zeros[word])
+        return np.where(high < 0, 0, np.minimum(place - k, self.n))
+
+    def find(self, targets: np.ndarray, lo=None, hi=None) -> np.ndarray:
+        """For each target its place, or -1, at places from lo to hi - 1; the high part narrows that, low parts are searched."""
         if not self.n:
             return np.full(len(targets), -1)
         targets = targets.astype(np.uint64)
-        high = np.minimum((targets >> np.uint64(self.low_bits)).astype(np.int64), len(self.zeros))
-        ends = np.append(self.zeros - np.arange(len(self.zeros)), self.n)  # elements whose high part is at most each value
-        lo = np.where(high > 0, ends[np.maximum(high - 1, 0)], 0)
-        hi = np.minimum(ends[high], self.n)
-        last, want = hi.copy(), targets & np.uint64((1 << self.low_bits) - 1)
-        while (lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = (lo < hi) & (self.low_of(np.minimum(mid, self.n - 1)) < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-        found = (lo < last) & (self.low_of(np.minimum(lo, self.n - 1)) == want)
-        return np.where(found, lo, -1)
+        all_zeros = len(self.ones) * 64 - self.n
+        high = np.minimum((targets >> np.uint64(self.low_bits)).astype(np.int64), all_zeros)
+        begin, end = self._up_to(high - 1), np.where(high >= all_zeros, self.n, self._up_to(np.minimum(high, all_zeros - 1)))
+        if lo is not None:
+            begin, end = np.maximum(begin, lo), np.minimum(end, hi)
+        last, want = end.copy(), targets & np.uint64((1 << self.low_bits) - 1)
+        while len(on := np.flatnonzero(begin < end)):
+            mid = (begin[on] + end[on]) >> 1
+            less = self._low(mid) < want[on]
+            begin[on], end[on] = np.where(less, mid + 1, begin[on]), np.where(less, end[on], mid)
+        found = begin < last
+        return np.where(found & (self._low(np.where(found, begin, 0)) == want), begin, -1)
 
 
 def quantise(mass: np.ndarray) -> np.ndarray:
@@ -113,202 +145,203 @@ def mass_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (LOWEST + STEP * (codes.astype(float) - 1)), 0.0)
 
 
-def build_trie(u: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
-    """Levels of a shard from distinct (u, w) in order: contexts, pointers, successors, quantised masses."""
-    contexts, first = np.unique(u, return_index=True)
-    rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(first, len(u))))
-    return (
-        EliasFano.encode(contexts) + EliasFano.encode(np.append(first, len(u))) + EliasFano.encode((rank << np.uint64(WORD_BITS)) | w) + quantise(count - D).tobytes()
-    )
-
-
-def query_trie(trie: bytes, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The codes of (u, w); 0 where unseen."""
-    with tempfile.TemporaryFile() as f:
-        f.write(trie)
-        f.flush()
-        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
-            view = memoryview(mapped)
-            contexts, at = EliasFano.view(view, 0)
-            _, at = EliasFano.view(view, at)
-            successors, at = EliasFano.view(view, at)
-            codes = np.frombuffer(view, np.uint8, successors.n, at)
-            seen = np.unique(u)
-            rank = contexts.find(seen)[np.searchsorted(seen, u)]
-            place = np.where(rank >= 0, successors.find((np.maximum(rank, 0).astype(np.uint64) << np.uint64(WORD_BITS)) | w), -1)
-            out = np.where(place >= 0, codes[np.maximum(place, 0)] if successors.n else 0, 0).astype(np.uint8)
-            del contexts, successors, codes, _
-            view.release()
-    return out
+class Trie:
+    """A shard's levels in one mapped region."""
+
+    def __init__(self, u: np.ndarray, w: np.ndarray, count: np.ndarray):
+        """From distinct (u, w) in order, w below 2**WORD_BITS."""
+        contexts, first = np.unique(u, return_index=True)
+        pointers = np.append(first, len(u))
+        # each context's successors go on top of the last value before them
+        last = w[pointers[1:] - 1] + np.uint64(1) if len(contexts) else w[:0]
+        under = np.cumsum(last, dtype=np.uint64) - last
+        levels = EliasFano.encode(contexts) + EliasFano.encode(pointers) + EliasFano.encode(np.repeat(under, np.diff(pointers)) + w) + quantise(count - D).tobytes()
+        self.mapped = mmap.mmap(-1, len(levels))
+        self.mapped.write(levels)
+        self.contexts, at = EliasFano.view(self.mapped, 0)
+        self.pointers, at = EliasFano.view(self.mapped, at)
+        self.successors, at = EliasFano.view(self.mapped, at)
+        self.codes = np.frombuffer(self.mapped, np.uint8, len(u), at)
+
+    def query(self, u: np.ndarray, runs: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The codes of successors w, 0 where unseen; context u[i] has the next runs[i] of them."""
+        if not self.successors.n:
+            return np.zeros(len(w), np.uint8)
+        rank = self.contexts.find(u)
+        known = np.maximum(rank, 0)
+        begin, end = self.pointers.get(known).astype(np.int64), self.pointers.get(known + 1).astype(np.int64)
+        # the value before the context's first successor, plus one; the level starts from 0
+        under = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+        begin, end = np.where(rank < 0, 0, begin), np.where(rank < 0, 0, end)
+        place = self.successors.find(np.repeat(under, runs) + w, np.repeat(begin, runs), np.repeat(end, runs))
+        return np.where(place >= 0, self.codes[np.maximum(place, 0)], 0).astype(np.uint8)
 
 
 # ---- chunks ---------------------------------------------------------------------------------------------------------
-def _words(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def word_hash(w: bytes) -> int:
-    return max(xxhash.xxh3_64_intdigest(w) >> 2, 3)
+def _spread(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _pack(*arrays: np.ndarray, more: bytes = b"") -> bytes:
+    """Arrays of unsigned numbers, each in as many bytes a number as its largest takes, the lowest of all first, and more bytes;
+    compressed."""
+    out = [len(arrays).to_bytes(8, "little")]
+    for a in arrays:
+        width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+        out += [np.array([len(a), width], "<i8").tobytes(), np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return _squeeze(b"".join([*out, more]))
+
+
+def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    data, out, at = _spread(data), [], 8
+    for _ in range(int.from_bytes(data[:8], "little")):
+        n, width = np.frombuffer(data, "<i8", 2, at).tolist()
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 16).reshape(width, n).T
+        out.append(wide.reshape(-1).view("<u8"))
+        at += 16 + n * width
+    return out, data[at:]
 
 
-class Chunk:
-    """Some texts as numbers of the chunk's own words; words 0 and 1 are begin and end."""
+def word_hash(w: bytes) -> int:
+    return max(xxhash.xxh3_64_intdigest(w) >> 64 - HASH_BITS, 3)
+
 
-    def __init__(self) -> None:
-        self.own: dict[bytes, int] = {}
-        self.ids: list = []
-        self.train: list[bool] = []
-        self.texts: list[np.ndarray] = []
-        self.size = 0
+def _shards_of_words(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (hashes % np.uint64(shards)).astype(np.int64)
 
-    def add(self, doc_id, train: bool, text: str) -> None:
-        ws, own = _words(text), self.own
-        for w in set(ws).difference(own):
-            own[w] = len(own) + 2
-        self.ids.append(doc_id)
-        self.train.append(train)
-        self.texts.append(np.fromiter(map(own.__getitem__, ws), np.uint32, len(ws)))
-        self.size += len(ws) + 1
 
-    def hashes(self) -> np.ndarray:
-        return np.array([BEGIN, END, *map(word_hash, self.own)], np.uint64)
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's numbers of words, which follow their hashes' order (begin 0, end 1), and the hashes in that order."""
+    order = np.argsort(hashes, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return number, hashes[order]
 
 
-def _pairs(texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, word) numbers of every token of texts laid end to end, each with its begin and end."""
+def _tokens(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) numbers of every token of texts laid end to end, each with its begin (0) and end (1)."""
     ends = np.cumsum(lengths + 1)
-    w = np.ones(int(ends[-1]) if len(ends) else 0, np.uint32)
+    w = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
     inside = np.ones(len(w), bool)
     inside[ends - 1] = False
-    w[inside] = texts
+    w[inside] = words
     u = np.zeros_like(w)
     u[1:] = w[:-1]
-    u[(ends - lengths - 1)] = 0
+    u[ends - lengths - 1] = 0
     return u, w
 
 
-def _ordered(u: np.ndarray, w: np.ndarray, hashes: np.ndarray, shards: int):
-    """Distinct bigrams in the order (shard, context, word): shard, context hash, word hash bits, and each token's bigram."""
-    key, back = np.unique(u.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
-    hu, hw = hashes[(key >> np.uint64(32)).astype(np.int64)], hashes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+def _bigrams(u: np.ndarray, w: np.ndarray, hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams by (shard, context, word): shard, context and word numbers, and the bigram of each token."""
+    key, back = np.unique(u << 32 | w, return_inverse=True)
+    u, w = key >> 32, key & 0xFFFFFFFF
     with np.errstate(over="ignore"):
-        mixed = (hu + (hw % np.uint64(SALTS)) * _C1) * _C2
+        mixed = (hashes[u] + ((hashes % np.uint64(SALTS)) * _C1)[w]) * _C2
     shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-    short = hw & np.uint64((1 << WORD_BITS) - 1)
-    order = np.lexsort((short, hu, shard))
+    order = np.argsort(shard, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return shard[order], hu[order], short[order], place[back]
-
-
-def _narrow(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _wide(buffer: bytes, width: int, n: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(buffer, np.uint8, n * width, at).reshape(n, width)
-    return out.reshape(-1).view("<u8")
-
-
-def _pack_bigrams(u: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
-    runs, first = np.unique(u, return_index=True)
-    wide = 8 if len(count) and count.max() > 255 else 1
-    head = np.array([len(u), len(runs), wide], "<i8").tobytes()
-    return head + runs.astype("<u8").tobytes() + np.diff(np.append(first, len(u))).astype("<u4").tobytes() + _narrow(w, 5) + _narrow(count, wide)
-
-
-def _unpack_bigrams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, k, wide = np.frombuffer(data, "<i8", 3).tolist()
-    u = np.repeat(np.frombuffer(data, "<u8", k, 24), np.frombuffer(data, "<u4", k, 24 + 8 * k))
-    return u, _wide(data, 5, n, 24 + 12 * k), _wide(data, wide, n, 24 + 12 * k + 5 * n)
+    return shard[order], u[order], w[order], place[back]
 
 
 _PART = "chunk long, kind int, shard int, data binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
-    at, chunk = TaskContext.get().partitionId() << 24, Chunk()
-    for b in batches:
-        for doc_id, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            chunk.add(doc_id, train, text.as_py())
-            if chunk.size >= CHUNK:
-                yield at, chunk
-                at, chunk = at + 1, Chunk()
-    if chunk.ids:
-        yield at, chunk
-
-
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
     c, k, s, d = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(d, pa.binary())], ["chunk", "kind", "shard", "data"])
 
 
-def _bigram_counts(shards: int):
-    """Chunks to (chunk, kind 2, shard, bigrams with their counts in training texts)."""
+def _chunks(shards: int):
+    """Texts to chunks: kind 0, the texts; 1, a shard's words with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, c in _chunks(batches):
-            lengths = np.array([len(t) for t in c.texts])
-            u, w = _pairs(np.concatenate(c.texts), lengths)
-            shard, hu, hw, bigram = _ordered(u, w, c.hashes(), shards)
-            count = np.bincount(bigram[np.repeat(np.array(c.train), lengths + 1)], minlength=len(hu))
-            ends = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(at, 2, s, _pack_bigrams(hu[a:b], hw[a:b], count[a:b])) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-            for i in range(0, len(rows), 64):
-                yield _parts(rows[i : i + 64])
+        at = TaskContext.get().partitionId() << 24
+        for b in batches:
+            for lo, hi in text_runs(b.column(2), CHUNK):
+                yield from one(at, b.slice(lo, hi - lo))
+                at += 1
+
+    def one(at: int, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        codes, distinct, rows = coded_words(b.column(2))
+        met, lengths = np.array([BEGIN, END, *map(word_hash, distinct)], np.uint64), np.diff(rows)
+        number, hashes = _numbered(met)
+        spelt, words = [*STATES, *distinct], number[codes + 2]
+        spelt = [spelt[i] for i in np.argsort(number).tolist()]
+        ids, train = b.column(0), np.asarray(b.column(1).to_pylist(), bool)
+        yield _parts([(at, 0, -1, _pack(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), train, lengths, met, codes + 2))])
+        count = np.bincount(words[np.repeat(train, lengths)], minlength=len(hashes))
+        count[:2] = train.sum()  # begin, as a context, and end
+        shard = _shards_of_words(hashes, shards)
+        by = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[by], np.arange(shards + 1))
+        out = []
+        for s, (i, j) in enumerate(zip(ends, ends[1:])):
+            if j > i:
+                named = [spelt[k] for k in by[i:j]]
+                out.append((at, 1, s, _pack(np.array([len(x) for x in named]), count[by[i:j]], more=b"".join(named))))
+        yield _parts(out)
 
     return run
 
 
-def _word_counts(shards: int):
-    """Chunks to (chunk, kind 1, shard, words with their counts in training texts)."""
+def _chunk(data: bytes, shards: int):
+    """(ids, null ids, training flags, lengths, hashes) of a chunk and its (shards, contexts, words, bigrams of tokens)."""
+    ids, null, train, lengths, met, words = _unpack(data)[0]
+    lengths, (number, hashes) = lengths.astype(np.int64), _numbered(met)
+    return ids, null, train > 0, lengths, hashes, _bigrams(*_tokens(number[words.astype(np.int64)], lengths), hashes, shards)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, c in _chunks(batches):
-            hashes, trained = c.hashes(), [t for t, train in zip(c.texts, c.train) if train]
-            count = np.bincount(np.concatenate([*trained, np.zeros(0, np.uint32)]), minlength=len(hashes))
-            count[0] = count[1] = len(trained)  # begin, as a context, and end
-            shard = (hashes % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((hashes, shard))
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            yield _parts([
-                (at, 1, s, hashes[order[a:b]].astype("<u8").tobytes() + count[order[a:b]].astype("<u8").tobytes())
-                for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a
-            ])
 
-    return run
+def _bigram_counts(shards: int):
+    """Chunks of kind 0 to kind 2: a shard's bigrams with their counts in training texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(3)):
+                yield from one(at, data.as_buffer())
+
+    def one(at: int, data) -> Iterator[pa.RecordBatch]:
+        _, _, train, lengths, hashes, (shard, u, w, back) = _chunk(data, shards)
+        count = np.bincount(back[np.repeat(train, lengths + 1)], minlength=len(u))
+        ends = np.searchsorted(shard, np.arange(shards + 1))
+        hw = hashes[w] & np.uint64((1 << WORD_BITS) - 1)
+        out = []
+        for s, (i, j) in enumerate(zip(ends, ends[1:])):
+            if j > i:
+                first = np.flatnonzero(np.append(True, u[i + 1 : j] != u[i : j - 1]))
+                out.append((at, 2, s, _pack(hashes[u[i + first]], np.diff(np.append(first, j - i)), hw[i:j], count[i:j])))
+        for i in range(0, len(out), 256):
+            yield _parts(out[i : i + 256])
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks to (chunk, kind 0, -1, texts): ids, which are null, training flags, lengths, hashes, word numbers in three bytes."""
-    for at, c in _chunks(batches):
-        hashes = c.hashes()
-        ids = np.array([i or 0 for i in c.ids], "<i8").tobytes() + np.array([(i is None) + 2 * t for i, t in zip(c.ids, c.train)], np.uint8).tobytes()
-        lengths = np.array([len(t) for t in c.texts], "<i8")
-        width = 3 if len(hashes) < 1 << 24 else 4
-        head = np.array([len(c.ids), len(hashes), width], "<i8").tobytes()
-        yield _parts([(at, 0, -1, head + ids + lengths.tobytes() + hashes.astype("<u8").tobytes() + _narrow(np.concatenate(c.texts), width))])
+    return run
 
 
 # ---- the model ------------------------------------------------------------------------------------------------------
 def _merge_bigrams(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's chunks to its trie (kind 3), answers to each chunk (kind 2), and successors of each context (kind 4)."""
-    pdf = pdf.sort_values("chunk")
-    parts = [_unpack_bigrams(d) for d in pdf["data"]]
-    u, w, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    """A shard's bigrams to answers for each chunk (kind 2) and the successors of each context (kind 4)."""
+    parts = [_unpack(d)[0] for d in pdf["data"]]
+    u, runs, w, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    runs = runs.astype(np.int64)
+    contexts, rank = np.unique(u, return_inverse=True)
     seen = count > 0
-    u, w, count = u[seen], w[seen], count[seen]
-    order = np.lexsort((w, u))
-    u, w, count = u[order], w[order], count[order].astype(np.float64)
-    first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))) if len(u) else np.zeros(0, np.int64)
-    u, w, count = u[first], w[first], np.add.reduceat(count, first) if len(first) else count
-    trie = build_trie(u, w, count)
-    rows = [(-1, 3, key[0], trie)]
-    for chunk, (a, b, _) in zip(pdf["chunk"], parts):
-        rows.append((chunk, 2, key[0], query_trie(trie, a, b).tobytes()))
-    contexts, n1 = np.unique(u, return_counts=True)
-    rows.append((-1, 4, key[0], contexts.astype("<u8").tobytes() + n1.astype("<u8").tobytes()))
+    entry = (np.repeat(rank, runs).astype(np.uint64) << np.uint64(WORD_BITS) | w)[seen]
+    order = np.argsort(entry)
+    entry, count = entry[order], count[seen][order].astype(np.float64)
+    first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])[: len(entry)])
+    entry, count = entry[first], np.add.reduceat(count, first) if len(first) else count
+    rank = (entry >> np.uint64(WORD_BITS)).astype(np.int64)
+    trie = Trie(contexts[rank], entry & np.uint64((1 << WORD_BITS) - 1), count)
+    codes, rows, at = trie.query(u, runs, w), [], 0
+    for chunk, p in zip(pdf["chunk"], parts):
+        rows.append((chunk, 2, key[0], _squeeze(codes[at : at + len(p[2])].tobytes())))
+        at += len(p[2])
+    known, n1 = np.unique(rank, return_counts=True)
+    rows.append((-1, 4, key[0], _pack(contexts[known], n1)))
     return pd.DataFrame(rows, columns=["chunk", "kind", "shard", "data"])
 
 
@@ -319,38 +352,46 @@ def _split_contexts(shards: int):
         for pdf in frames:
             rows = []
             for data in pdf["data"]:
-                n = len(data) // 16
-                u, n1 = np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u8", n, 8 * n)
-                for s in np.unique(u % np.uint64(shards)):
-                    on = u % np.uint64(shards) == s
-                    rows.append((-1, 4, int(s), u[on].tobytes() + n1[on].tobytes()))
+                u, n1 = _unpack(data)[0]
+                shard = _shards_of_words(u, shards)
+                by = np.argsort(shard, kind="stable")
+                found, first = np.unique(shard[by], return_index=True)
+                rows += [(-1, 4, int(s), _pack(u[by[i:j]], n1[by[i:j]])) for s, i, j in zip(found, first, np.append(first[1:], len(by)))]
             yield pd.DataFrame(rows, columns=["chunk", "kind", "shard", "data"])
 
     return run
 
 
 def _merge_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's counts and successor counts to answers (kind 1): counts, then successors, and totals (kind 5): tokens, distinct."""
-
-    def summed(data):
-        parts = [(np.frombuffer(d, "<u8", len(d) // 16), np.frombuffer(d, "<u8", len(d) // 16, len(d) // 2)) for d in data]
-        keys = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
-        values = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint64)])
-        distinct, back = np.unique(keys, return_inverse=True)
-        return distinct, np.bincount(back, values.astype(float), len(distinct)).astype(np.int64), parts
-
-    words, count, parts = summed(pdf["data"][pdf["kind"] == 1])
-    contexts, n1, _ = summed(pdf["data"][pdf["kind"] == 4])
+    """A shard's counts and successor counts to answers (kind 1): counts and successors, and totals (kind 5): tokens, distinct."""
+    parts, named, lengths, counts = pdf[pdf["kind"] == 1], [], [], []
+    for data in parts["data"]:
+        (size, count), names = _unpack(data)
+        named.append(names)
+        lengths.append(size)
+        counts.append(count)
+    sizes = [len(x) for x in lengths]
+    lengths, counts = (np.concatenate([*x, np.zeros(0, np.uint64)]).astype(np.int64) for x in (lengths, counts))
+    offsets = np.append(0, np.cumsum(lengths))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(named))]).dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    total = np.bincount(codes, counts, len(words)).astype(np.int64)
     successors = np.zeros(len(words), np.int64)
-    if len(contexts):
-        at = np.minimum(np.searchsorted(contexts, words), len(contexts) - 1)
-        successors = np.where(contexts[at] == words, n1[at], 0)
-    rows = []
-    for chunk, (keys, _) in zip(pdf["chunk"][pdf["kind"] == 1], parts):
-        at = np.searchsorted(words, keys)
-        rows.append((chunk, 1, key[0], count[at].astype("<i8").tobytes() + successors[at].astype("<i8").tobytes()))
-    token = words != BEGIN
-    rows.append((-1, 5, key[0], np.array([count[token].sum(), (count[token] > 0).sum()], "<i8").tobytes()))
+    told = [_unpack(d)[0] for d in pdf["data"][pdf["kind"] == 4]]
+    if told and len(words):
+        contexts, back = np.unique(np.concatenate([t[0] for t in told]), return_inverse=True)
+        n1 = np.bincount(back, np.concatenate([t[1] for t in told]).astype(float)).astype(np.int64)
+        own = {STATES[0]: BEGIN, STATES[1]: END}
+        hashes = np.array([own.get(w) or word_hash(w) for w in words], np.uint64)
+        at = np.minimum(np.searchsorted(contexts, hashes), len(contexts) - 1)
+        successors = np.where(contexts[at] == hashes, n1[at], 0)
+    rows, at = [], 0
+    for chunk, n in zip(parts["chunk"], sizes):
+        mine = codes[at : at + n]
+        rows.append((chunk, 1, key[0], _pack(total[mine], successors[mine])))
+        at += n
+    token = np.array([w != STATES[0] for w in words], bool)
+    rows.append((-1, 5, key[0], np.array([total[token].sum(), (total[token] > 0).sum()], "<i8").tobytes()))
     return pd.DataFrame(rows, columns=["chunk", "kind", "shard", "data"])
 
 
@@ -359,33 +400,19 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(shards: int, tokens: int, distinct: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf["data"][pdf["kind"] == 0].iloc[0]
-        docs, size, width = np.frombuffer(data, "<i8", 3).tolist()
-        at = 24
-        ids = np.frombuffer(data, "<i8", docs, at)
-        flags = np.frombuffer(data, np.uint8, docs, at := at + 8 * docs)
-        lengths = np.frombuffer(data, "<i8", docs, at := at + docs)
-        hashes = np.frombuffer(data, "<u8", size, at := at + 8 * docs)
-        texts = _wide(data, width, int(lengths.sum()), at + 8 * size).astype(np.uint32)
-        u, w = _pairs(texts, lengths)
-        shard, _, _, bigram = _ordered(u, w, hashes, shards)
-        answers = pdf[pdf["kind"] == 2].sort_values("shard")
-        codes = np.frombuffer(b"".join(answers["data"]), np.uint8)
-        order = np.lexsort((hashes, (hashes % np.uint64(shards)).astype(np.int64)))
-        parts = [np.frombuffer(d, "<i8").reshape(2, -1) for d in pdf[pdf["kind"] == 1].sort_values("shard")["data"]]
-        told = np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.int64)
-        if len(codes) != len(shard) or told.shape[1] != size:
-            raise RuntimeError("answers do not fit their chunk: the input was read in other partitions the second time")
-        count, n1 = np.zeros(size), np.zeros(size)
-        count[order], n1[order] = told
+        ids, null, train, lengths, hashes, (_, u, w, bigram) = _chunk(pdf["data"][pdf["kind"] == 0].iloc[0], shards)
+        codes = np.frombuffer(b"".join(map(_spread, pdf[pdf["kind"] == 2].sort_values("shard")["data"])), np.uint8)
+        told = [_unpack(d)[0] for d in pdf[pdf["kind"] == 1].sort_values("shard")["data"]]
+        by = np.argsort(_shards_of_words(hashes, shards), kind="stable")
+        count, n1 = np.zeros(len(hashes)), np.zeros(len(hashes))
+        count[by], n1[by] = (np.concatenate([t[i] for t in told]) for i in (0, 1))
         base = (count + 0.1) / (tokens + 0.1 * (distinct + 1))
-        mass = mass_of(codes)[bigram]
-        p = np.where(count[u] > 0, (mass + D * n1[u] * base[w]) / np.maximum(count[u], 1), base[w])
-        doc = np.repeat(np.arange(docs), lengths + 1)
+        p = np.where(count[u] > 0, (mass_of(codes) + D * n1[u] * base[w]) / np.maximum(count[u], 1), base[w])
+        first = np.cumsum(lengths + 1) - lengths - 1
+        per = lambda of: np.add.reduceat(of[bigram], first)
         return pd.DataFrame({
-            "doc_id": pd.array(np.where(flags % 2 == 1, None, ids), dtype="Int64"), "held_out": flags < 2, "n_tokens": lengths + 1,
-            "n_known": np.bincount(doc, count[w] > 0, docs).astype(np.int64), "train_tokens": tokens,
-            "base_score": np.bincount(doc, np.log10(base[w]), docs), "score": np.bincount(doc, np.log10(p), docs),
+            "doc_id": pd.array(np.where(null > 0, None, ids.view(np.int64)), dtype="Int64"), "held_out": ~train, "n_tokens": lengths + 1,
+            "n_known": per((count[w] > 0).astype(np.int64)), "train_tokens": tokens, "base_score": per(np.log10(base)[w]), "score": per(np.log10(p)),
         })
 
     return run
@@ -399,14 +426,17 @@ def score(docs: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), (F.pmod(id_hash(), F.lit(10)) != 0).alias("train"), body().alias("text"))
-    shards = min(4096, max(64, 4 * rows.rdd.getNumPartitions()))
-    merged = staged(rows.mapInArrow(_bigram_counts(shards), _PART).groupBy("shard").applyInPandas(_merge_bigrams, _PART), "trie")
+    shards = max(64, 4 * rows.rdd.getNumPartitions())
+    chunks = staged(rows.mapInArrow(resting(_chunks(shards)), _PART), "chunks", "kind")
+    bigrams = chunks.where("kind = 0").mapInArrow(resting(_bigram_counts(shards)), _PART)
+    merged = staged(bigrams.groupBy("shard").applyInPandas(_merge_bigrams, _PART), "trie", "kind")
     successors = merged.where("kind = 4").mapInPandas(_split_contexts(shards), _PART)
-    words = staged(rows.mapInArrow(_word_counts(shards), _PART).union(successors).groupBy("shard").applyInPandas(_merge_words, _PART), "words")
+    words = staged(chunks.where("kind = 1").unionByName(successors).groupBy("shard").applyInPandas(_merge_words, _PART), "words", "kind")
+    discard(chunks, "kind=1")
     totals = [np.frombuffer(r.data, "<i8") for r in words.where("kind = 5").select("data").collect()]  # 16 bytes a shard
     tokens, distinct = (int(sum(t[i] for t in totals)) for i in (0, 1))
-    answers = merged.where("kind = 2").union(words.where("kind = 1"))
-    return rows.mapInArrow(_texts, _PART).union(answers).groupBy("chunk").applyInPandas(_score(shards, tokens, distinct), _SCORE)
+    answers = merged.where("kind = 2").unionByName(words.where("kind = 1"))
+    return chunks.where("kind = 0").unionByName(answers).groupBy("chunk").applyInPandas(_score(shards, tokens, distinct), _SCORE)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,34 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert np.mean(right) > 0.95
 
 
+def test_toxicity_learns_what_only_a_pair_tells(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(7))
+    rows = []
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        ws = [word() for _ in range(40)] + ["groupname"] * a + ["insultish"] * b
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws), int(a != b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(df, df.select("doc_id", "toxic"))
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = lambda m: np.mean([(got[i] >= 0.5) == bool(y) for got in [{r.doc_id: r.score for r in toxicity.score(df, m).collect()}] for i, y in held])
+    assert right(machine) > 0.9
+    linear = toxicity.Machine(machine.bias, machine.weights, np.zeros_like(machine.factors))
+    assert right(linear) < 0.8
+
+
+def test_toxicity_pair_sum():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, rng.standard_normal(1 << toxicity.BITS), rng.standard_normal((1 << toxicity.BITS, toxicity.FACTORS)))
+    sets = [np.unique(rng.integers(0, 1 << toxicity.BITS, n)) for n in (0, 1, 2, 40)]
+    got = m.raw(np.repeat(np.arange(4), [len(s) for s in sets]), np.concatenate(sets), 4)
+    for s, g in zip(sets, got):
+        brute = 0.3 + sum(m.weights[i] for i in s) + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(s) for j in s[:k])
+        assert g == pytest.approx(brute)
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(15, 1), (16, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
@@ -120,6 +150,16 @@ def test_pii_base_spans(spark):
         assert {(s.kind, s.start) for s in r.base} <= {(s.kind, s.start) for s in r.spans}
 
 
+def test_pii_of_many_spans(spark):
+    text = " ".join(f"u{i}@ex.com call (415) 555-{i:04}" for i in range(4000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find(df).first()
+    assert [(s.kind, s.start, s.end) for s in row.base] == plain_spans(text)
+    phones = [(m.start(), m.end()) for m in re.finditer(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", text)]
+    assert [(s.start, s.end) for s in row.spans if s.kind == "phone"] == phones
+    assert pii.redact(df).first().text == " ".join(["[EMAIL] call [PHONE]"] * 4000)
+
+
 def test_pii_candidates_and_redaction(spark, docs):
     text = "call (415) 555-0137 now, ref 415 555 0137, mail me: joe (at) example dot com, amex 378282246310005 ok 1.2.3.4"
     df = spark.createDataFrame([(1, text, 9)], "doc_id long, text string, n_chars long")
@@ -128,6 +168,11 @@ def test_pii_candidates_and_redaction(spark, docs):
     assert "415 555 0137" not in {s.value for s in row.spans}
     out = pii.redact(df).first()
     assert out.text.startswith("call [PHONE] now, ref 415 555 0137,") and out.text.endswith("[IP]") and out.n_chars == len(out.text)
+    # what is said elsewhere in a text has no part in whether a span is proposed, nor has the length of a host
+    host = "a-rather-long-host-name-of-more-than-forty-letters.com"
+    lines = ["write to jane at example.com", "write to jane at example.com . price (at) cost", f"write to jane at {host}", "we shop at example.com today", "look at home.the door"]
+    found = {r.doc_id: [s.value for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")).collect()}
+    assert found == {0: ["jane at example.com"], 1: ["jane at example.com"], 2: [f"jane at {host}"], 3: [], 4: []}
     again = pii.redact(docs)
     assert again.columns == docs.columns and again.where("text is null").count() == 1
     assert pii.find(empty(spark)).count() == 0
@@ -142,6 +187,24 @@ def test_elias_fano():
         asked = np.concatenate([values, rng.integers(0, top, 300).astype(np.uint64)])
         where = {int(v): i for i, v in enumerate(values)}
         assert ef.find(asked).tolist() == [where.get(int(a), -1) for a in asked]
+        assert ef.get(np.arange(len(values))).tolist() == values.tolist()
+        lo, hi = np.full(len(asked), len(values) // 3), np.full(len(asked), len(values) // 2)
+        assert ef.find(asked, lo, hi).tolist() == [i if len(values) // 3 <= (i := where.get(int(a), -1)) < len(values) // 2 else -1 for a in asked]
+
+
+def test_trie_searches_between_pointers():
+    rng = np.random.default_rng(2)
+    seen = {(int(rng.integers(3, 60)) << 40, int(rng.integers(0, 2**40))) for _ in range(3000)} | {(5 << 40, 7), (6 << 40, 7), (6 << 40, 2**40 - 1)}
+    u, w = (np.array(x, np.uint64) for x in zip(*sorted(seen)))
+    count = rng.integers(1, 500, len(u)).astype(float)
+    trie = lm.Trie(u, w, count)
+    assert trie.pointers.get(np.arange(trie.pointers.n)).tolist() == [*np.unique(u, return_index=True)[1].tolist(), len(u)]
+    asked = sorted({(int(a), int(b)) for a, b in seen} | {(int(a) + (1 << 40), int(b)) for a, b in list(seen)[::3]} | {(1, 7), (2**61, 7)})
+    contexts, runs = np.unique([a for a, _ in asked], return_counts=True)
+    want = dict(zip(sorted(seen), lm.quantise(count - lm.D).tolist()))
+    got = trie.query(contexts.astype(np.uint64), runs, np.array([b for _, b in asked], np.uint64))
+    assert got.tolist() == [want.get(a, 0) for a in asked]
+    assert lm.Trie(u[:0], w[:0], count[:0]).query(u[:1], np.array([1]), w[:1]).tolist() == [0]
 
 
 def test_lm_equals_counting(spark):
@@ -216,6 +279,67 @@ def test_minhash_equals_brute_force(spark, size):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_by_id(rows, size):
+    """Component of each id, ids that repeat being one document with several texts."""
+    sets = {k: minhash.shingles(minhash.words(t or ""), size) for k, (_, t) in enumerate(rows)}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        for m, (j, _) in enumerate(rows[:k]):
+            a, b = sets[k], sets[m]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    return {i: root(i) for i, _ in rows}
+
+
+def test_minhash_with_repeated_ids(spark):
+    rng = random.Random(4)
+    base, other, third = ([f"{c}{rng.randrange(9999)}" for _ in range(60)] for c in "bot")
+    rows = [(5, base), (5, other), (6, [*base, "x"]), (7, [*other, "y"]), (8, third), (9, [*third, "z"]), (9, []), (10, third), (11, ["lone"])]
+    rows = [(i, " ".join(ws)) for i, ws in rows]
+    want = brute_by_id(rows, 2)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        component = want[r.doc_id] if r.n_shingles else r.doc_id
+        assert (r.component_id, r.kept) == (component, component == r.doc_id)
+    assert want[7] == 5
+
+
+def test_minhash_of_a_group_at_the_threshold(spark, monkeypatch):
+    """A large component, and many that are nearly similar enough to it and to each other; some of them are, to a few."""
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(80)], {}
+    for i in range(260):
+        copy = list(base)
+        for k in rng.sample(range(80), rng.choice((1, 2, 5, 6, 7, 8))):
+            copy[k] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(copy)
+    monkeypatch.setattr(minhash, "FIRST", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 40)  # several blocks
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components({k: minhash.shingles(minhash.words(t), 2) for k, t in texts.items()}, 80)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_full_sets(size):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(9))) for _ in range(60)]
+    numbers, at = minhash.full_sets(pa.array(texts, pa.large_string()), size)
+    sets, mine = [minhash.shingles(minhash.words(t), size) for t in texts], [set(numbers[i:j].tolist()) for i, j in zip(at, at[1:])]
+    for i in range(len(texts)):
+        assert len(mine[i]) == len(sets[i])
+        assert all(len(mine[i] & mine[j]) == len(sets[i] & sets[j]) for j in range(i))
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     for shared in (0, 500, 900):
@@ -325,6 +449,35 @@ def test_html_held_out_blocks():
     assert (html_extract.is_main(x) == (y == 1)).mean() > 0.97
 
 
+def test_html_tree_uses_links_and_neighbours():
+    def split(node):
+        return set() if isinstance(node, float) else {html_extract.FEATURES[node[0]]} | split(node[2]) | split(node[3])
+
+    used = split(html_extract.tree())
+    assert "links" in used and used & {"words_before", "links_before", "words_after", "links_after"}
+
+
+@pytest.mark.parametrize("n", [10, 45, 200])
+def test_html_drops_long_boilerplate(n):
+    say = " ".join(["word"] * n)
+    article = "<article><div class='entry-header'><h1>Head line</h1></div>" + f"<p>{' '.join(['text'] * 40)}</p>" * 4 + "</article>"
+    want = "\n".join(["Head line", *[" ".join(["text"] * 40)] * 4])
+    links = "".join(f"<li><a href='/'>{' '.join(['word'] * 5)}</a></li>" for _ in range(n // 5 + 1))
+    for other in (
+        f"<footer>{say}</footer>", f"<aside><p>{say}</p></aside>", f"<nav><a>{say}</a></nav>", f"<div class='comments'><p>{say}</p></div>", f"<p class=comment>{say}</p>",
+        f"<div class='cookie-notice'>{say}</div>", f"<div hidden>{say}</div>", f"<div style='display: none'><p>{say}</p></div>", f"<ul>{links}</ul>", f"<div class=\"share-bar\">{say}</div>",
+    ):
+        for page in (other + article, article + other, article.replace("</article>", other + "</article>")):
+            assert html_extract.main_text(f"<html><body class='page-with-sidebar'>{page}</body></html>") == want
+
+
+def test_html_takes_time_in_the_length():
+    for part in ("<a x ", '<a x="', "<!", "<div>", "</div>", '<p "', "<script>", "<div><p>"):
+        began = time.perf_counter()
+        html_extract.main_text(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 3
+
+
 def test_html_pages(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href='/a'>menu</a></li></ul></nav><div class=\"ad\">Buy now please.</div>"
@@ -374,6 +527,17 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_hot_vector(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.standard_normal(16)
+    vecs = [hot] * 300 + [2 * hot] * 100 + [hot + 0.1 * rng.standard_normal(16) for _ in range(20)] + list(rng.standard_normal((40, 16))) + [rng.standard_normal(16)] * 2
+    unit = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    df = spark.createDataFrame([(i + 7, x.tolist()) for i, x in enumerate(vecs)], "vec_id long, embedding array<double>").withColumn("n", F.lit(3))
+    for r in embedding_dedup.near_duplicates(df).collect():
+        assert (r.n_links, r.component_id) == (links[r.vec_id - 7].sum() - 1, 7 + int(np.flatnonzero(links[r.vec_id - 7])[0]))
+
+
 def dense_vectors(n=1500, pairs=60, close=0.8, seed=3):
     """Rows around one direction with a mutual cosine of about `close`, and pairs among them at 0.90 to 0.92."""
     rng = np.random.default_rng(seed)
