@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, coded_words, components, staged, table, text_runs
+from .common import body, coded_words, components, resting, staged, table, text_runs
 
 REGISTERS = 160
 BASE = 1.02
 BANDS, ROWS = 32, 5
 #: Members, and bytes of their texts, of a block of which a task compares two.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: Bands whose buckets are linked first.
 FIRST = 4
 MARGIN = 0.19
@@ -166,7 +166,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 )
                 rid += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(resting(run), _SKETCH)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(part[c]), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
                 yield part[["a", "b"]][likelihood(a, b, part["na"].to_numpy(float), part["nb"].to_numpy(float)) >= percent / 100 - MARGIN]
 
-    return met.mapInPandas(run, "a long, b long")
+    return met.mapInPandas(resting(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -209,7 +209,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(resting(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -365,7 +365,7 @@ def _across(suspects: DataFrame, label: DataFrame, met: DataFrame, percent: int,
                 mark[numbers[at[r] : at[r + 1]]] = False
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    groups = max(64, total.n // BLOCK, total.b // BLOCK_BYTES)
+    groups = max(64, 2 * total.n // BLOCK, 2 * total.b // BLOCK_BYTES)
     return dealt.withColumn("g", F.expr(f"pmod(xxhash64(suspect, i, j), {groups})")).groupBy("g").applyInPandas(compare, "a long, b long")
 
 
