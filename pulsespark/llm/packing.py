@@ -10,6 +10,7 @@ pieces of their length.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import sys
 import zlib
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import body, staged, table
+from .common import body, resting, staged, table
 
 CAPACITY = 4096
-SUBS = 64
+#: Pieces of one length that are numbered together, about.
+SUB_ROWS = 100_000
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 24 << 20
 _PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long"
 
 
@@ -44,6 +46,11 @@ class StretchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        specials = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        if any(len(s.split()) != 1 for s in specials):
+            raise ValueError("a special token with white space reaches over stretches")
+        #: How specials, for which case counts, begin.
+        self.openers = tuple({s[:2] for s in specials})
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
@@ -54,8 +61,8 @@ class StretchEncoder:
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the caches are large
         try:
-            # the normaliser lowers letters anyhow; only specials, which open with "<|", care about case
-            cut, known = [t.encode().split() if "<|" in t else t.encode().lower().split() for t in texts], self.known
+            # the normaliser lowers letters anyhow; only specials care about case
+            cut, known = [t.encode().split() if self._special(t) else t.encode().lower().split() for t in texts], self.known
             fresh = set().union(*cut).difference(known)
             if fresh:
                 aged = {s: self.aged[s] for s in fresh if s in self.aged}
@@ -72,10 +79,17 @@ class StretchEncoder:
                 gc.enable()
 
 
+    def _special(self, text: str) -> bool:
+        """Whether a text may hold a special."""
+        for o in self.openers:
+            if o in text:
+                return True
+        return False
+
     def _encode_fresh(self, fresh: set[bytes]) -> None:
         """Words end where marks begin, so the marks at a stretch's end are encoded apart and its head but once."""
-        known = self.known
-        ends = {s: (head, s[len(head) :]) for s in fresh if s[-1] in MARKS and b"<|" not in s and (head := s.rstrip(MARKS))}
+        known, openers = self.known, [o.encode() for o in self.openers]
+        ends = {s: (head, s[len(head) :]) for s in fresh if s[-1] in MARKS and not (openers and any(o in s for o in openers)) and (head := s.rstrip(MARKS))}
         left = list({part for s in fresh for part in ends.get(s, (s,))}.difference(known))
         for s, e in zip(left, self.tokenizer.encode_batch_fast([s.decode() for s in left], add_special_tokens=False)):
             known[s] = array("I", e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, "<u4").tobytes()
@@ -118,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
                 at = until
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "doc_tokens", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(resting(run), _PIECES)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -165,7 +179,7 @@ def runs(patterns: list[tuple[int, tuple]]) -> np.ndarray:
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows(doc_id, start, length, ...) with sequence_id and offset.  rows must be a staged table: it is read three times."""
-    sub = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SUBS))
+    sub = F.pmod(F.xxhash64(*(c for c in rows.columns if c != "length")), F.lit(max(64, rows.count() // SUB_ROWS)))
     counted = rows.groupBy("length", sub.alias("sub")).agg(F.count("*").alias("n"))
     before = counted.withColumn(
         "before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
