@@ -2,8 +2,8 @@
 
 Base spans come from fixed patterns and are always kept.  High-recall generators propose further spans (addresses with
 "(at)" and "dot", telephone numbers without a plus, card numbers of 13 to 15 digits), which may overlap; boosted trees over
-features of the format and of the words around score them; per kind a threshold, set where held-out candidates of a written
-training table reach the wanted precision, selects.  The trees are fitted on the driver from that table and become SQL
+features of the format and of the words around score them; scores are calibrated per kind on one held-out part of a written
+training table, and a threshold, set where candidates of another part reach the wanted precision, selects.  The trees are fitted on the driver from that table and become SQL
 expressions, so the main path runs no Python.
 """
 
@@ -29,14 +29,14 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]?)(?:\.|$)){4}$"
 
-#: Generators: kind, cheap test, pattern.
+#: Generators: kind, cheap test that holds wherever the pattern is found, pattern.
 GENERATORS = {
     "email": (
-        r"(?i)[(\[{]at[)\]}]|\bat\b.{1,40}\bdot\b",
+        r"(?i)[(\[{]at[)\]}]|\x20at\x20",
         rf"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}+(?:\x20?[(\[{{]at[)\]}}]\x20?|\x20at\x20){HOST}{{1,63}}+(?:(?:\x20?[(\[{{]dot[)\]}}]\x20?|\x20dot\x20|\.){HOST}{{1,63}}+){{1,4}}+",
     ),
     "card": (r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])"),
-    "phone": (r"[0-9]{3}[)]?[\x20.-]+[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])"),
+    "phone": (r"[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])"),
 }
 #: Features: name, field, pattern; each is 1 where the pattern is found in the field.
 FEATURES = (
@@ -56,6 +56,9 @@ FEATURES = (
     ("tld", "value", r"(?i)(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk)$"),
 )
 KINDS = ("email", "ip", "card", "phone")
+#: Matches whose places are summed up together; and so many proposed spans, in the order of starts, can overlap one at most: a
+#: span has 420 characters at most (64 + 6 + 63 + 4 * 70), and those of a kind, of 8 at least, lie apart.
+STRIDE, NEAR = 64, 330
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -74,8 +77,18 @@ def _spans(text: Column, kind: str, pattern: str, context: int = 0) -> Column:
             span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.element_at(p["hits"], i).alias("value"), before.alias("before"), after.alias("after"))
             return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
 
-        first = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-        return F.when(F.size(p["hits"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(p["hits"])), first, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+        def moved(block: Column, by: Column) -> Column:
+            return F.transform(block["out"], lambda s: F.struct(
+                s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")
+            ))
+
+        # places inside blocks first, then those of the blocks, so that growing an array costs little however many spans there are
+        n, none = F.size(p["hits"]), F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
+        blocks = F.transform(F.sequence(F.lit(1), n, F.lit(STRIDE)), lambda lo: F.aggregate(F.sequence(lo, F.least(lo + STRIDE - 1, n)), none, step))
+        begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at"))
+        places = lambda bs: F.aggregate(bs, begin, lambda acc, k: F.struct((acc["pos"] + k["pos"]).alias("pos"), F.array_append(acc["at"], acc["pos"]).alias("at")), lambda acc: acc["at"])
+        whole = F.transform(F.array(blocks), lambda bs: F.flatten(F.zip_with(bs, places(bs), moved)))[0]
+        return F.when(n > 0, whole).otherwise(F.array().cast(_SPAN))
 
     return F.transform(F.array(packed), from_packed)[0]
 
@@ -118,7 +131,7 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def training_table(rows: int = 1500, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
+def training_table(rows: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
     """(kind, before, value, after, label): personal data and look-alikes, as people write them."""
     rng = random.Random(seed)
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -145,13 +158,17 @@ def training_table(rows: int = 1500, seed: int = 3) -> list[tuple[str, str, str,
                 before += rng.choice(("", "", "ISBN ", "id: ", "order ", "serial ", "card "))
             value = rng.choice((digits, f"{digits[:4]} {digits[4:10]} {digits[10:]}"))
         else:
-            host = f"{word()}{rng.choice((' dot ', ' (dot) ', '[dot]', '.'))}{rng.choice(('com', 'org', 'net', 'de'))}"
+            host = f"{word()}{rng.choice((' dot ', ' (dot) ', '[dot]', '.', '.'))}{rng.choice(('com', 'org', 'net', 'de'))}"
+            asks = rng.choice(("mail ", "contact ", "write to ", "reach ", "e-mail: "))
             if good:
-                value = f"{word()}{rng.choice((' (at) ', '[at]', '(at)', ' at '))}{host}"
-                if " at " in value and "dot" not in value:
-                    value = value.replace(".", " dot ")
-                before += rng.choice(("mail ", "contact ", "write to ", "", "e-mail: "))
+                value = f"{word()}{rng.choice((' (at) ', '[at]', '(at)', ' at ', ' at '))}{host}"
+                if " at " not in value or "dot" in value:
+                    asks = rng.choice((asks, ""))  # spelled out, it speaks for itself
+                before += asks
+            elif rng.random() < 0.3:
+                value = f"{word()} at {host.replace('[dot]', '.').replace(' (dot) ', '.').replace(' dot ', '.')}"  # a shop, not a mailbox
             else:
+                before += rng.choice(("", "", asks))
                 value = f"{word()} at {word()}{rng.choice(('.', ' dot '))}{word()}"
         out.append((kind, before[-24:], value, after[:24], int(good)))
     return out
@@ -187,31 +204,47 @@ def _value(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] == 1, _value(on, x), _value(off, x))
 
 
+def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) with which 1 / (1 + exp(-(a * raw + b))) is the likeliest share of ones, by Newton's method."""
+    x, ab = np.stack([raw, np.ones(len(raw))], 1), np.array([1.0, 0.0])
+    soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        ab = ab - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - soft))
+    return float(round(ab[0], 6)), float(round(ab[1], 6))
+
+
 @lru_cache(1)
 def model(rounds: int = 40, depth: int = 3, rate: float = 0.3, precision: float = 0.98):
-    """(trees, threshold of each kind): fitted on two thirds of the table, thresholds set on the rest."""
+    """(trees, rate, calibration of each kind, threshold of each kind): trees are fitted on half of the table, scores
+    calibrated on a quarter and thresholds set on the rest."""
     rows = training_table()
     x, y = np.array([_row(*r[:4]) for r in rows]), np.array([r[4] for r in rows])
-    fit = np.arange(len(rows)) % 3 != 0
+    turn = np.arange(len(rows)) % 4
+    fit = turn < 2
     raw, trees = np.zeros(len(rows)), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
         trees.append(_tree(x[fit], (p - y)[fit], (p * (1 - p))[fit], depth))
         raw += rate * _value(trees[-1], x)
-    p, bounds = 1 / (1 + np.exp(-raw)), {}
+    scales, bounds = {}, {}
     for kind in GENERATORS:
-        mine = ~fit & np.array([r[0] == kind for r in rows])
+        mine = np.array([r[0] == kind for r in rows])
+        a, b = scales[kind] = platt(raw[mine & (turn == 2)], y[mine & (turn == 2)])
+        p = 1 / (1 + np.exp(-(a * raw + b)))
+        last = mine & (turn == 3)
         # the least score from which on the wanted share is right; a kind without one adds nothing
-        good = [t for t in np.unique(p[mine]) if t >= 0.5 and y[mine & (p >= t)].mean() >= precision]
-        bounds[kind] = float(min(good, default=1.1))
-    return trees, bounds, rate
+        good = [t for t in np.unique(p[last]) if t >= 0.5 and y[last & (p >= t)].mean() >= precision]
+        bounds[kind] = float(min(good, default=1.1)) - 1e-9
+    return trees, rate, scales, bounds
 
 
 def _score(span: Column) -> Column:
-    """The boosted score, features worked out once a span."""
+    """The calibrated score, features worked out once a span."""
     digits = _digits(span["value"])
     flags = [span[f].rlike(p) for _, f, p in FEATURES] + [F.when(F.length(digits) > 0, luhn(digits)).otherwise(False)] + [span["kind"] == k for k in GENERATORS]
-    trees, _, rate = model()
+    trees, rate, scales, _ = model()
+    of_kind = lambda i: F.element_at(F.create_map(*(F.lit(v) for k, ab in scales.items() for v in (k, ab[i]))), span["kind"])
 
     def total(flags_: Column) -> Column:
         def walk(tree) -> Column:
@@ -223,7 +256,7 @@ def _score(span: Column) -> Column:
         raw = F.lit(0.0)
         for t in trees:
             raw = raw + walk(t)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-rate) * raw))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(of_kind(0) * F.lit(rate) * raw + of_kind(1))))
 
     return F.transform(F.array(F.array(*flags)), total)[0]
 
@@ -235,18 +268,20 @@ def find(docs: DataFrame) -> DataFrame:
     then by start.  Null texts count as empty and have no spans; repeated rows give a row each; null ids stay; other columns
     are ignored; an empty table gives no rows.
     """
-    _, bounds, _ = model()
+    *_, bounds = model()
     rows = docs.select("doc_id", body().alias("text"))
     rows = rows.select("*", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("maybe"))
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     scored = F.transform(F.filter("maybe", apart), lambda s: F.struct(_score(s).alias("score"), s.alias("span")))
     chosen = F.filter(scored, lambda c: c["score"] >= F.element_at(F.create_map(*(F.lit(x) for kb in bounds.items() for x in kb)), c["span"]["kind"]))
     rows = rows.select("doc_id", "text", "base", F.when(F.size("maybe") > 0, chosen).otherwise(F.array()).alias("chosen"))
-    beaten = lambda c: F.exists(
-        "chosen", lambda o: (o["span"]["start"] < c["span"]["end"]) & (c["span"]["start"] < o["span"]["end"])
+    # in the order of starts, what overlaps a span lies within NEAR places of it
+    rows = rows.withColumn("chosen", F.array_sort("chosen", lambda a, b: a["span"]["start"] - b["span"]["start"]))
+    beaten = lambda c, i: F.exists(
+        F.slice("chosen", F.greatest(i + 1 - NEAR, F.lit(1)), F.lit(2 * NEAR)), lambda o: (o["span"]["start"] < c["span"]["end"]) & (c["span"]["start"] < o["span"]["end"])
         & ((o["score"] > c["score"]) | ((o["score"] == c["score"]) & (o["span"]["kind"] < c["span"]["kind"])))
     )
-    added = F.transform(F.filter("chosen", lambda c: ~beaten(c)), lambda c: c["span"])
+    added = F.transform(F.filter("chosen", lambda c, i: ~beaten(c, i)), lambda c: c["span"])
     of_kind = lambda k: F.filter(F.concat("base", added), lambda s: s["kind"] == k)
     ordered = F.concat(*(F.array_sort(of_kind(k), lambda a, b: a["start"] - b["start"]) for k in KINDS))
     return rows.select("doc_id", "text", "base", F.when(F.size("chosen") > 0, ordered).otherwise(F.col("base")).alias("spans"))
@@ -264,8 +299,16 @@ def redacted(text: Column, spans: Column) -> Column:
             F.when(fresh, F.array_append(acc["out"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(acc["out"]).alias("out"),
         )
 
-    first = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(ordered, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
+    first = lambda pos: F.struct(pos.alias("pos"), F.array().cast("array<string>").alias("out"))
+
+    def block(acc: Column, lo: Column) -> Column:
+        # spans are taken in blocks, which are joined, so that growing an array costs little however many spans there are
+        done = F.aggregate(F.slice(ordered, lo, F.lit(STRIDE)), first(acc["pos"]), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["pos"].alias("pos"), F.array_append(acc["out"], F.array_join(d["out"], "")).alias("out")))[0]
+
+    whole = F.aggregate(
+        F.sequence(F.lit(1), F.size(spans), F.lit(STRIDE)), first(F.lit(0)), block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))
+    )
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
