@@ -74,7 +74,7 @@ def power_law(rows: DataFrame, key: str = "key", value: str = "x") -> DataFrame:
     raw = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.pow(F.lit(10.0), lo + (hi - lo) * i / F.greatest(n - 1, F.lit(1))))
     edge = F.transform(raw, lambda e, i: F.when(i == F.size(raw) - 1, F.ceil(F.round(e, 6))).otherwise(F.floor(F.round(e, 6))).cast("double"))
     edges = ends.select("key", "mean", F.array_sort(F.array_distinct(edge)).alias("e"))
-    binned = v.join(F.broadcast(edges), "key").select("key", "mean", "e", F.expr("least(size(filter(e, t -> t <= x)), size(e) - 1)").alias("b")).where("b >= 1")
+    binned = v.join(edges, "key").select("key", "mean", "e", F.expr("least(size(filter(e, t -> t <= x)), size(e) - 1)").alias("b")).where("b >= 1")
     points = binned.groupBy("key", "mean", "b").agg(F.log10(F.count("*").cast("double")).alias("y"), F.log10(F.first(F.expr("(e[b - 1] + e[b]) / 2"))).alias("x"))
     fits = points.groupBy("key", "mean").agg(F.count("*").alias("points"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("cut"))
     err = points.join(fits, ["key", "mean"]).groupBy("key", "mean", "points", "slope").agg(

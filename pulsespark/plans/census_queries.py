@@ -169,7 +169,12 @@ su AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS item
 
 
 _SPLIT = r"string_split(CASE WHEN suffix(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))"
+_FIT = RQ.ORACLE_SQL["power_law_fit"].replace("SELECT l_returnflag AS key", "SELECT (l_partkey % 6)::VARCHAR AS key")
 ORACLE_SQL = {
+    # no document has timed lines, and lines without marks are the text
+    "lyric_keywords": f"WITH {TQ._F} SELECT doc_id, rank, w AS word, n FROM r WHERE rank <= 10",
+    "power_law_kept": f"""WITH q AS ({_FIT}), c AS (SELECT (l_partkey % 6)::VARCHAR AS key, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem) GROUP BY 1),
+f AS (SELECT q.key AS label, n, slope, sigma, mean FROM q JOIN c ON c.key = q.key WHERE n > 15 AND slope IS NOT NULL) SELECT *, round((SELECT avg((sigma <= 0.5)::INT) * 100 FROM f), 6) AS keep_rate FROM f WHERE sigma <= 0.5""",
     "breakout_day_text": _SEL + " SELECT key, head, length(text) AS n_chars, md5(text) AS h FROM bt",
     "census": f"{_SEL}, {_WORDS}, {_CLASS} SELECT s.key, s.flag, " + ", ".join(f"{_AT.format(e)} AS {c}" for c, e in (("start_date", 's.bucket + INTERVAL 1 HOUR * (s."start" - s.head)'), ("end_date", 's.bucket + INTERVAL 1 HOUR * (s."end" - s.head)'), ("center", "s.bucket")))
     + ", s.y AS reviews_count, coalesce(tags, '') AS tags, coalesce(clusters, '0:others') AS clusters FROM sel s LEFT JOIN tg ON tg.key = s.key AND tg.head = s.head LEFT JOIN cl ON cl.key = s.key AND cl.head = s.head",
