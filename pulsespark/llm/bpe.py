@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, pieces_of, raw_bytes, table, text_runs
+from .common import body, pieces_of, raw_bytes, resting, table, text_runs
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends // 4, pa.int32()), pa.array(np.frombuffer(data, np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(resting(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
@@ -353,7 +353,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        resting(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
