@@ -8,7 +8,8 @@ block against block, and a link between two components unites them.  Since the c
 inside each component are counted exactly, again block against block, without writing pairs out.
 
 The sweep multiplies in single precision, with a margin that covers its rounding, and decides what passes that in double
-precision.  Its time grows with the square of the table; pairs whose components are one already cost the product only.
+precision.  Its time grows with the square of the table; pairs whose components are one already cost the product only.  Equal
+vectors are taken together, so a hot vector is one.
 Tests compare with brute force.
 """
 
@@ -193,14 +194,15 @@ def missed_links(units: DataFrame, label: DataFrame, threshold: float, size: int
 
 
 def link_counts(units: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """(vec_id, n_links) of members of components(node, component): every pair of a component counts, block by block."""
+    """(vec_id, n_links) of members of components(node, component), units having n copies each: every pair of a component
+    counts, block by block, and a vector's own copies but for itself."""
     member = units.join(label.select(F.col("node").alias("vec_id"), "component"), "vec_id")
-    sizes = member.groupBy("component").agg(F.count("*").alias("n"))
-    # a component of n members has n / BLOCK blocks, and each block meets each
-    dealt = member.join(sizes, "component").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("mine", F.expr("pmod(xxhash64(vec_id), blocks)"))
-    left = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("component", F.col("mine").alias("p"), F.col("other").alias("q"), "vec_id", "unit", F.lit(0).alias("side"))
+    sizes = member.groupBy("component").agg(F.count("*").alias("members"))
+    # a component has a block for every BLOCK members, and each block meets each
+    dealt = member.join(sizes, "component").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK}) as int)")).withColumn("mine", F.expr("pmod(xxhash64(vec_id), blocks)"))
+    left = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("component", F.col("mine").alias("p"), F.col("other").alias("q"), "vec_id", "n", "unit", F.lit(0).alias("side"))
     right = dealt.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("other <> mine").select(
-        "component", F.col("other").alias("p"), F.col("mine").alias("q"), "vec_id", "unit", F.lit(1).alias("side")
+        "component", F.col("other").alias("p"), F.col("mine").alias("q"), "vec_id", "n", "unit", F.lit(1).alias("side")
     )
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,14 +210,14 @@ def link_counts(units: DataFrame, label: DataFrame, threshold: float) -> DataFra
         others = own if int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0]) else pdf[pdf["side"] == 1]
         if not len(own) or not len(others):
             return pd.DataFrame({"vec_id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
-        a, b = _matrix(own["unit"]), _matrix(others["unit"])
+        a, b, copies = _matrix(own["unit"]), _matrix(others["unit"]), others["n"].to_numpy()
         n = np.zeros(len(a), np.int64)
         for at in range(0, len(b), 512):
-            n += (a @ b[at : at + 512].T >= threshold - _EPS).sum(1)
-        return pd.DataFrame({"vec_id": own["vec_id"].to_numpy(), "n": n - (others is own)})
+            n += (a @ b[at : at + 512].T >= threshold - _EPS) @ copies[at : at + 512]
+        return pd.DataFrame({"vec_id": own["vec_id"].to_numpy(), "n": n})
 
     counted = left.unionByName(right).groupBy("component", "p", "q").applyInPandas(count, "vec_id long, n long")
-    return counted.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    return counted.groupBy("vec_id").agg((F.sum("n") - 1).alias("n_links"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
@@ -226,14 +228,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PA
     for links and come out as often as they came in; null ids have null components and kept = false.  Other columns are
     ignored; an empty table gives no rows.
     """
-    units = staged(unit_vectors(vectors), "units")
+    every = staged(unit_vectors(vectors), "vectors")
+    # equal vectors are one, with a number of copies
+    units = staged(every.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "units")
     links = candidate_links(units, threshold, passes, window)
     label = staged(components(links), "labels")
     missed = missed_links(units, label, threshold, SWEEP)
     if not missed.isEmpty():
         label = staged(components(links.union(missed)), "labels")
     counts = link_counts(units, label, threshold)
-    found = label.withColumnRenamed("node", "vec_id").join(counts, "vec_id", "left")
+    told = units.join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(counts, "vec_id", "left")
+    told = told.select("unit", F.coalesce("component", "vec_id").alias("component"), F.coalesce("n_links", F.col("n") - 1).alias("n_links"))
+    found = every.join(told, "unit").select("vec_id", "component", "n_links")
     out = vectors.select(F.col("vec_id").cast("long")).join(found, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
