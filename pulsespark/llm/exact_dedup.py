@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import WS, body, id_hash, staged, table
 
-BUCKETS = 256
+#: Digests of a snapshot in one filter, about.
+FILTER_ROWS = 100_000
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -95,25 +96,26 @@ def _keys(digests: pd.Series) -> np.ndarray:
 
 # ---- tables ---------------------------------------------------------------------------------------------------------
 def group_batch(docs: DataFrame, digest=sha256) -> DataFrame:
-    """The distinct normalised texts of docs(doc_id, text) as (digest, text, first_id, n_rows, bucket)."""
+    """The distinct normalised texts of docs(doc_id, text) as (digest, text, first_id, n_rows)."""
     rows = docs.select("doc_id", normalised().alias("text")).select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    return rows.groupBy("digest", "text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")).select(
-        "digest", "text", "first_id", "n_rows", F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    )
+    return rows.groupBy("digest", "text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"))
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.select("digest").distinct().select("digest", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"))
 
 
-def build_filters(snapshot: DataFrame) -> DataFrame:
-    """One immutable filter per bucket: (bucket, seed, segment, segments, prints)."""
+def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
+    """One immutable filter for each of so many buckets of digests: (bucket, seed, segment, segments, prints)."""
 
     def build(key, pdf):
         return pd.DataFrame([(key[0], *fuse_build(np.unique(_keys(pdf["digest"]))))], columns=["bucket", "seed", "segment", "segments", "prints"])
 
-    digests = snapshot.select("bucket", "digest").distinct()
-    return digests.groupBy("bucket").applyInPandas(build, "bucket int, seed int, segment int, segments int, prints binary")
+    return _bucketed(snapshot, buckets).groupBy("bucket").applyInPandas(build, "bucket int, seed int, segment int, segments int, prints binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
-    """The digests of incoming(bucket, digest) that the filters cannot rule out."""
+def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+    """The digests of incoming(digest, ...) that the filters of so many buckets cannot rule out."""
 
     def probe(key, left, right):
         if not len(right) or not len(left):
@@ -121,13 +123,12 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
         f = right.iloc[0]
         return left[["digest"]][fuse_contains(_keys(left["digest"]), int(f.seed), int(f.segment), int(f.segments), f.prints)]
 
-    digests = incoming.select("bucket", "digest").distinct()
-    return digests.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string")
+    return _bucketed(incoming, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string")
 
 
-def dedup_against(snapshot: DataFrame, filters: DataFrame, incoming: DataFrame) -> DataFrame:
+def dedup_against(snapshot: DataFrame, filters: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
     """Texts of incoming that snapshot holds: (digest, first_id, held_id), the bytes having been compared."""
-    maybe = screen(incoming, filters)
+    maybe = screen(incoming, filters, buckets)
     suspects = incoming.join(maybe, "digest", "left_semi").select("digest", "text", "first_id")
     exact = snapshot.select("digest", F.col("text").alias("held_text"), F.col("first_id").alias("held_id"))
     return suspects.join(exact, "digest").where("text = held_text").select("digest", "first_id", "held_id")
@@ -146,8 +147,9 @@ def exact_groups(docs: DataFrame, digest=sha256) -> DataFrame:
     old = F.pmod(id_hash(), F.lit(2)) == 0
     snapshot = staged(group_batch(docs.where(old), digest), "snapshot")
     incoming = staged(group_batch(docs.where(~old), digest), "incoming")
-    filters = staged(build_filters(snapshot), "filters")
-    matches = dedup_against(snapshot, filters, incoming)
+    buckets = max(256, snapshot.count() // FILTER_ROWS)
+    filters = staged(build_filters(snapshot, buckets), "filters")
+    matches = dedup_against(snapshot, filters, incoming, buckets)
     anchor = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
     after = incoming.select("digest", "first_id", "n_rows", anchor("first_id").alias("own")).join(
         matches.select("digest", anchor("first_id").alias("own"), F.lit(True).alias("held"), anchor("held_id").alias("other")), ["digest", "own"], "left"
