@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsespark.functions import text as X
-from pulsespark.operators import census, changepoint, cluster, itemsets, relational, report, words
+from pulsespark.operators import census, changepoint, cluster, embed, itemsets, relational, report, words
 from pulsespark.sources import sinks, tables
 from pulsespark.streaming.counts import streaming_counts
 
@@ -148,6 +148,19 @@ def test_rules_of_large_sets(spark):
         itemsets.rules(big).collect()
 
 
+def test_words_are_trained_by_several_tasks(spark, monkeypatch):
+    import pyspark.ml.feature as ml
+
+    monkeypatch.setattr(embed, "PART", 1000)
+    parts, fit = [], ml.Word2Vec.fit
+    monkeypatch.setattr(ml.Word2Vec, "fit", lambda self, *a: parts.append(self.getNumPartitions()) or fit(self, *a))
+    rows = lambda n: spark.createDataFrame([(i, ["a", "b", "c"] * 5) for i in range(n)], "doc_id long, words array<string>")
+    for n in (10, 150, 2000):
+        model = embed.train_words(rows(n), size=4, least=2, rounds=1)
+        assert sorted(r.word for r in model.getVectors().collect()) == ["a", "b", "c"]
+    assert parts == [1, 2, spark.sparkContext.defaultParallelism]
+
+
 def test_consolidate(spark):
     grams = spark.createDataFrame([("a.b",), ("axb",), ("c+",), ("a.b",), ("d",)], "word string")
     assert sorted(r.word for r in words.consolidate(grams, ("a.b", "+")).collect()) == ["axb", "d"]
