@@ -64,6 +64,10 @@ def test_itemsets_of_every_size(spark, db, tmp_path):
     for t in ("lineitem", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     for name, sizes in (("frequent_itemsets_all", {1, 2, 3, 4}), ("itemset_report_all", {2, 3, 4})):
+    for name, most in (("association_rules", 3), ("association_rules_all", 4)):  # the SQL of the first ends with sets of three
+        got = canonical(QUERIES[name](spark, str(tmp_path)).select("antecedent", "consequent", "confidence").collect())
+        assert got == canonical(con.sql(ORACLE_SQL[name]).select("antecedent", "consequent", "confidence").fetchall())
+        assert max(len(f"{r[0]}+{r[1]}".split("+")) for r in got) == most
         got = canonical(QUERIES[name](spark, str(tmp_path)).select("items", "freq").collect())
         assert got == canonical(con.sql(ORACLE_SQL[name]).select("items", "freq").fetchall())
         assert {r[0].count("+") + 1 for r in got} == sizes
