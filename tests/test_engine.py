@@ -23,6 +23,13 @@ def test_marks_go_in_order(spark):
     assert one(spark, "aZ~Zb~", lambda t: X.strip_marks(t, ["~", "ZZ"])) == "ab"
 
 
+def test_spaces_between_latin_letters(spark):
+    twice = lambda t: F.regexp_replace(F.regexp_replace(t, "([a-z]+) ([a-z]+)", "$1空$2"), "([a-z]+) ([a-z]+)", "$1空$2")
+    rng = random.Random(9)
+    for text in ("a b c d e", "aB c  d Ef g", *("".join(rng.choice("ab B ") for _ in range(60)) for _ in range(20))):
+        assert one(spark, text, X.glue_latin) == one(spark, text, twice)
+
+
 def test_emoticons(spark):
     assert one(spark, "x (^_^)> y (^^^^^) 1(^o^)", lambda t: X.emoticons(t, "(^_)>*")) == ["(^_^)>"]
 
