@@ -42,15 +42,15 @@ def term_counts(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
 
 
-def dictionary(counts: DataFrame, docs: int, no_below: int = 30, no_above: float = 0.03, keep: int = 100_000) -> DataFrame:
-    """(word, df) of words in at least no_below documents and at most a share no_above of them, the most frequent `keep`."""
+def dictionary(counts: DataFrame, docs: int, no_below: int = 30, no_above: float = 0.03, keep: int | None = 100_000) -> DataFrame:
+    """(word, df) of words in at least no_below documents and at most a share no_above of them, the most frequent `keep`, or all."""
     df = counts.groupBy("word").agg(F.count("*").alias("df")).where((F.col("df") >= no_below) & (F.col("df") <= no_above * docs))
-    return df.orderBy(F.desc("df"), "word").limit(keep)
+    return df if keep is None else df.orderBy(F.desc("df"), "word").limit(keep)
 
 
 def tf_idf(counts: DataFrame, words: DataFrame, docs: int, few: bool = False) -> DataFrame:
-    """(doc_id, word, weight): tf * log2(N / df), each document scaled to length 1; few: words come from dictionary(), which
-    bounds their number, and are sent to the counts."""
+    """(doc_id, word, weight): tf * log2(N / df), each document scaled to length 1; few: words come from a dictionary() with a
+    bound and are sent to the counts."""
     raw = counts.join(F.broadcast(words) if few else words, "word").withColumn("w", F.col("tf") * F.log2(F.lit(float(docs)) / F.col("df")))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.withColumn("weight", F.try_divide("w", length)).select("doc_id", "word", "weight")

@@ -168,6 +168,11 @@ def test_words_are_trained_by_several_tasks(spark, monkeypatch):
     assert parts == [1, 2, spark.sparkContext.defaultParallelism]
 
 
+def test_dictionary_without_bound(spark):
+    counts = spark.createDataFrame([(d, w, 1) for d in range(3) for w in "abcde"], "doc_id long, word string, tf long")
+    assert words.dictionary(counts, 3, 1, 1.0, 2).count() == 2 and words.dictionary(counts, 3, 1, 1.0, None).count() == 5
+
+
 def test_consolidate(spark):
     grams = spark.createDataFrame([("a.b",), ("axb",), ("c+",), ("a.b",), ("d",)], "word string")
     assert sorted(r.word for r in words.consolidate(grams, ("a.b", "+")).collect()) == ["axb", "d"]
