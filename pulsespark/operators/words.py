@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, norm
 
 
 def top_words(docs: DataFrame, words: Column, k: int = 8, keep: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -61,6 +61,25 @@ def best(weights: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def coherence(members: DataFrame) -> DataFrame:
+    """(doc, mean_cos, pairs) of members(doc, pos, vec): the mean cosine of the pairs p, q of a doc with pos(p) <= pos(q), a member with
+    itself among them, and the number of pairs.
+
+    Vectors of length 1 add up: of all ordered pairs and of those at one pos the cosines sum to the squared length of the vectors'
+    sum, so half of both together is the sum over the pairs, and none is formed.  Vectors without a cosine (null, zero, with null
+    components) count among the pairs alone, and those of different sizes have none together.
+    """
+    rows = members.where(F.col("doc").isNotNull() & F.col("pos").isNotNull())
+    long = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()) & (norm(F.col("vec")) != 0)
+    unit = rows.where(long).select("doc", "pos", F.size("vec").alias("size"), F.col("vec").cast("array<double>").alias("vec"), norm(F.col("vec")).alias("norm"))
+    each = unit.select("doc", "pos", "size", F.posexplode(F.transform("vec", lambda x: x / F.col("norm"))).alias("i", "x"))
+    at = each.groupBy("doc", "size", "i", "pos").agg(F.sum("x").alias("s"))  # most have a pos of their own
+    cos = at.groupBy("doc", "size", "i").agg((F.pow(F.sum("s"), F.lit(2)) + F.sum(F.col("s") * F.col("s"))).alias("twice")).groupBy("doc").agg(F.sum("twice").alias("twice"))
+    places = lambda df, *keys: df.groupBy("doc", *keys, "pos").agg(F.count("*").alias("m")).groupBy("doc", *keys).agg(((F.pow(F.sum("m"), F.lit(2)) + F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("n"))
+    met = places(unit, "size").groupBy("doc").agg(F.sum("n").alias("met"))
+    return places(rows).withColumnRenamed("n", "pairs").join(cos, "doc", "left").join(met, "doc", "left").select("doc", F.try_divide(F.col("twice") / 2, "met").alias("mean_cos"), "pairs")
+
+
 def diversity_rerank(candidates: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(doc_id, rank, word): the best first; then each time all scores are multiplied by 1 - cosine to the last pick.
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsespark.functions import text as X
+from pulsespark.functions import vectors as V
 from pulsespark.operators import census, changepoint, cluster, embed, itemsets, relational, report, words
 from pulsespark.sources import sinks, tables
 from pulsespark.streaming.counts import streaming_counts
@@ -57,6 +58,17 @@ def test_top_words_ties_by_first_sight(spark):
     assert [(r.word, r.n) for r in got] == [("b", 2), ("a", 2)]
 
 
+def test_coherence_without_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, i // 2, [rng.gauss(0.3, 1) for _ in range(5 - (i % 7 == 0))]) for i in range(60)] + [(0, 90, None), (1, 91, [0.0] * 5), (2, 92, [1.0, None, 0.0, 0.0, 0.0]), (3, 1, None)]
+    m = spark.createDataFrame(rows, "doc long, pos long, vec array<double>")
+    pairs = m.join(m.select("doc", F.col("pos").alias("q"), F.col("vec").alias("w")), "doc").where("pos <= q").groupBy("doc").agg(F.avg(V.cosine("vec", "w")).alias("mean_cos"), F.count("*").alias("pairs"))
+    show = lambda df: {r.doc: (r.mean_cos and round(r.mean_cos, 9), r.pairs) for r in df.collect()}
+    assert show(words.coherence(m)) == show(pairs)
+    many = spark.range(30_000).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))  # 450 million pairs
+    assert show(words.coherence(many)) == {1: (1.0, 30_000 * 30_001 // 2)}
+
+
 def test_rerank(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "word string, vec array<double>")
     cands = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.9), (1, "c", 0.3), (1, "oov", 5.0)], "doc_id long, word string, weight double")

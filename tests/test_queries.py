@@ -84,5 +84,5 @@ def test_leaders_come_from_all_vectors(spark):
 @pytest.mark.parametrize("name", ("top_tags", "lyric_keywords", "tag_pool", "top_bigrams"))
 def test_texts_are_moved_and_never_their_words(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert {k.split("#")[0] for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)} == {"doc_id"} and "word" not in "".join(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
-    assert plan.count("Exchange hashpartitioning") == 1 + (name == "tag_pool") and plan.count(r"\p{L}+|\p{N}+") == 1
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"doc_id"} and len(keys) <= 1 + (name == "tag_pool") and plan.count(r"\p{L}+|\p{N}+") == 1
