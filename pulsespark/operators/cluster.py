@@ -117,8 +117,13 @@ def classify(tags: DataFrame, clusters: DataFrame, key: str = "doc_id", least: f
     return chosen.withColumn("clusters", F.when(F.size("clusters") > 0, F.col("clusters")).otherwise(others))
 
 
-#: Points of a block, of which a task compares two.
-BLOCK = 1024
+#: Points of a tile: a task compares two blocks tile against tile.  Blocks have as many points at least, and more where there would
+#: be more than MOST of them: each point is sent once for each block, so what is sent grows with the points, not with their square.
+BLOCK, MOST = 1024, 16
+
+
+def _blocks(points: DataFrame) -> int:
+    return max(1, min(MOST, -(-points.count() // BLOCK)))
 
 
 def _paired(points: DataFrame, blocks: int) -> DataFrame:
@@ -127,26 +132,44 @@ def _paired(points: DataFrame, blocks: int) -> DataFrame:
     dealt = points.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     first = dealt.withColumn("q", F.explode(F.sequence("own", F.lit(blocks - 1).cast("long")))).withColumnRenamed("own", "p").withColumn("side", F.lit(0))
     second = dealt.where("own > 0").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))).withColumnRenamed("own", "q").withColumn("side", F.lit(1))
-    return first.unionByName(second)
+    both = first.unionByName(second).withColumn("pair", (F.col("q") * (F.col("q") + 1) / 2).cast("long") + F.col("p"))
+    return both if blocks == 1 else both.repartition(blocks * (blocks + 1), "pair")  # by number, so that parts are not put together
+
+
+def _squares(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of v to all of w."""
+    out = v @ w.T
+    out *= -2
+    out += np.square(v).sum(1)[:, None]
+    out += np.square(w).sum(1)[None, :]
+    return out
 
 
 def _compare(points: DataFrame, blocks: int, eps: float, schema: str, meet) -> DataFrame:
-    """What meet(a, b, near, same) gives for each pair of blocks: the rows of both, and which of them lie at most eps apart."""
+    """What meet(a, b, tiles, same) gives for each pair of blocks: the rows of both, and (i, j, near) of their tiles with their
+    first rows and which of them lie at most eps apart; of a block with itself those with i <= j alone."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         same = not len(b) and int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0])
         b = a if same else b
         if not len(a) or not len(b):
-            return meet(a, b, np.zeros((len(a), len(b)), bool), same)
-        v, w = np.stack(a["vec"]).astype(float), np.stack(b["vec"]).astype(float)
-        square = np.square(v).sum(1)[:, None] + np.square(w).sum(1)[None, :] - 2 * v @ w.T
-        close = np.abs(square - eps * eps) < 1e-9 * (1 + eps * eps)  # where rounding could decide, the differences do
-        i, j = np.nonzero(close)
-        square[i, j] = np.square(v[i] - w[j]).sum(1)
-        return meet(a, b, square <= eps * eps, same)
+            return meet(a, b, (), same)
+        x = np.stack(a["vec"]).astype(float)
+        y = x if same else np.stack(b["vec"]).astype(float)
+
+        def tiles():
+            for i in range(0, len(x), BLOCK):
+                for j in range(i if same else 0, len(y), BLOCK):
+                    v, w = x[i : i + BLOCK], y[j : j + BLOCK]
+                    square = _squares(v, w)
+                    k, m = np.nonzero(np.abs(square - eps * eps) < 1e-9 * (1 + eps * eps))  # where rounding could decide, the differences do
+                    square[k, m] = np.square(v[k] - w[m]).sum(1)
+                    yield i, j, square <= eps * eps
+
+        return meet(a, b, tiles(), same)
 
-    return _paired(points, blocks).groupBy("p", "q").applyInPandas(run, schema)
+    return _paired(points, blocks).groupBy("pair").applyInPandas(run, schema)
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -157,35 +180,60 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     points are reached by, never the pairs themselves.  Labels spread by minima along those links, each round checkpointed,
     until none changes.
     """
-    points = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    blocks = max(1, -(-points.count() // BLOCK))
-
-    def count(a, b, near, same):
-        parts = [(a["id"], near.sum(1))] if same else [(a["id"], near.sum(1)), (b["id"], near.sum(0))]
+    points = points.select("id", "vec")
+    blocks = _blocks(points)
+
+    def count(a, b, tiles, same):
+        m, n = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for i, j, near in tiles:
+            m[i : i + len(near)] += near.sum(1)
+            if not same or i < j:
+                (m if same else n)[j : j + near.shape[1]] += near.sum(0)
+        parts = [(a["id"], m)] if same else [(a["id"], m), (b["id"], n)]
         return pd.DataFrame({"id": np.concatenate([i for i, _ in parts]).astype("int64"), "n": np.concatenate([n for _, n in parts]).astype("int64")})
 
-    def unite(a, b, near, same):
-        ids, edges = np.concatenate([a["id"], b["id"]]), []
-        root = np.arange(len(ids))
-        if same:
-            root[len(a) :] = root[: len(a)]
-        for r in range(len(a)):
-            for other in np.unique(root[len(a) + np.flatnonzero(near[r])]):
-                mine = root[r]
-                if other != mine:
-                    edges.append((ids[mine], ids[other]))
-                    root[root == max(mine, other)] = min(mine, other)
+    def unite(a, b, tiles, same):
+        ids, edges = (a["id"] if same else pd.concat([a["id"], b["id"]])).to_numpy(), []
+        root, off = np.arange(len(ids)), 0 if same else len(a)
+        for i, j, near in tiles:
+            left, right = root[i : i + len(near)], root[off + j : off + j + near.shape[1]]
+            k, m = np.nonzero(near & (left[:, None] != right[None, :]))
+            if not len(k):
+                continue
+            up: dict[int, int] = {}
+
+            def find(x):
+                while x in up:
+                    x = up[x]
+                return x
+
+            for x, y in np.unique(np.stack([left[k], right[m]], 1), axis=0).tolist():
+                x, y = find(x), find(y)
+                if x != y:
+                    edges.append((ids[x], ids[y]))
+                    up[max(x, y)] = min(x, y)
+            to = np.arange(len(ids))
+            to[list(up)] = [find(x) for x in up]
+            root = to[root]
         return pd.DataFrame(edges, columns=["id", "other"], dtype="int64")
 
-    def reach(a, b, near, same):
-        out = []
-        for x, y, m in ((a, b, near),) if same else ((a, b, near), (b, a, near.T)):
-            core, border = (y["num"] >= 0).to_numpy(), (x["num"] < 0).to_numpy()
-            lowest = np.where(m[border][:, core], y["num"].to_numpy()[core], np.iinfo(np.int64).max)
-            least = lowest.min(1, initial=np.iinfo(np.int64).max)
-            hit = least < np.iinfo(np.int64).max
-            out.append(pd.DataFrame({"id": x["id"].to_numpy()[border][hit], "reach": least[hit]}))
-        return pd.concat(out)
+    def reach(a, b, tiles, same):
+        none = np.iinfo(np.int64).max
+        x, y = a["num"].to_numpy(), b["num"].to_numpy()
+        m, n = np.full(len(a), none), np.full(len(b), none)
+
+        def lowest(least, at, mine, others, near):
+            border, core = np.flatnonzero(mine < 0), np.flatnonzero(others >= 0)
+            if len(border) and len(core):
+                least[at + border] = np.minimum(least[at + border], np.where(near[np.ix_(border, core)], others[core], none).min(1))
+
+        for i, j, near in tiles:
+            p, q = x[i : i + len(near)], y[j : j + near.shape[1]]
+            lowest(m, i, p, q, near)
+            if not same or i < j:
+                lowest(m if same else n, j, q, p, near.T)
+        parts = [(a["id"].to_numpy(), m)] if same else [(a["id"].to_numpy(), m), (b["id"].to_numpy(), n)]
+        return pd.concat([pd.DataFrame({"id": i[r < none], "reach": r[r < none]}) for i, r in parts])
 
     core = _compare(points, blocks, eps, "id long, n long", count).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id").checkpoint()
     spanning = _compare(points.join(core, "id"), blocks, eps, "id long, other long", unite)
@@ -233,28 +281,40 @@ def silhouette(points: DataFrame) -> DataFrame:
     """(id, label, s) of points(id, vec, label): with a the mean distance to the others of its label and b the least mean distance
     to those of another, s is (b - a) / max(a, b); 0 for a point alone in its label or without other labels.
 
-    Blocks of points meet inside tasks, which give a sum of distances for each point and label.
+    Blocks of points meet inside tasks, tile against tile, which give a sum of distances for each point and label.
     """
-    points = points.select("id", F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
+    points = points.select("id", "vec", F.col("label").cast("long").alias("label"))
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         same = not len(b) and int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0])
         out = []
         if len(a) and (same or len(b)):
-            b = a if same else b
-            v, w = np.stack(a["vec"]), np.stack(b["vec"])
-            far = np.sqrt(np.maximum(np.square(v).sum(1)[:, None] + np.square(w).sum(1)[None, :] - 2 * v @ w.T, 0))
-            if same:
-                np.fill_diagonal(far, 0)
-            for x, y, m in ((a, b, far),) if same else ((a, b, far), (b, a, far.T)):
-                labels, which = np.unique(y["label"], return_inverse=True)
-                one = np.eye(len(labels))[which]
-                total, n = m @ one, np.broadcast_to(one.sum(0), (len(x), len(labels))) - same * (x["label"].to_numpy()[:, None] == labels)
-                out.append(pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(labels)), "other": np.tile(labels, len(x)), "total": total.ravel(), "n": n.ravel()}))
+            a = a.sort_values("label", kind="stable")
+            b = a if same else b.sort_values("label", kind="stable")
+            v = np.stack(a["vec"]).astype(float)
+            w = v if same else np.stack(b["vec"]).astype(float)
+            (la, na), (lb, nb) = (np.unique(x["label"], return_inverse=True) for x in (a, b))
+            m, n = np.zeros((len(a), len(lb))), np.zeros((len(b), len(la)))
+
+            def add(total, far, which):  # rows are sorted by label, so each label's are side by side
+                first = np.flatnonzero(np.diff(which, prepend=-1))
+                total[:, which[first]] += np.add.reduceat(far, first, axis=1)
+
+            for i in range(0, len(v), BLOCK):
+                for j in range(i if same else 0, len(w), BLOCK):
+                    far = np.sqrt(np.maximum(_squares(v[i : i + BLOCK], w[j : j + BLOCK]), 0))
+                    if same and i == j:
+                        np.fill_diagonal(far, 0)
+                    add(m[i : i + BLOCK], far, nb[j : j + BLOCK])
+                    if not same or i < j:
+                        add((m if same else n)[j : j + BLOCK], far.T, na[i : i + BLOCK])
+            for x, labels, which, total in ((a, lb, nb, m),) if same else ((a, lb, nb, m), (b, la, na, n)):
+                n = np.broadcast_to(np.bincount(which), (len(x), len(labels))) - same * (x["label"].to_numpy()[:, None] == labels)
+                out.append(pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(labels)), "other": np.tile(labels, len(x)), "total": total.ravel(), "n": n.ravel().astype(float)}))
         return pd.concat(out) if out else pd.DataFrame([], columns=["id", "other", "total", "n"])
 
-    met = _paired(points, max(1, -(-points.count() // BLOCK))).groupBy("p", "q").applyInPandas(sums, "id long, other long, total double, n double")
+    met = _paired(points, _blocks(points)).groupBy("pair").applyInPandas(sums, "id long, other long, total double, n double")
     means = met.groupBy("id", "other").agg((F.try_divide(F.sum("total"), F.sum("n"))).alias("mean")).join(points.select("id", "label"), "id")
     own = F.col("other") == F.col("label")
     both = means.groupBy("id", "label").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))

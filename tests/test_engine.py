@@ -138,6 +138,15 @@ def test_dbscan_of_whole_vectors(spark, monkeypatch, block):
     assert got == want and len(set(want.values())) > 3
 
 
+def test_points_are_sent_as_often_as_there_are_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 4)
+    for n, blocks in ((3, 1), (40, 10), (400, 16)):
+        points = spark.range(n).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("vec"), (F.col("id") % 3).alias("label"))
+        assert cluster._blocks(points) == blocks and cluster._paired(points, blocks).count() == n * blocks
+    want = plain_dbscan([(i, [float(i), 0.0]) for i in range(400)], 1.5, 3)
+    assert {r.id: r.label for r in cluster.dbscan(points, 1.5, 3).collect()} == want and cluster.silhouette(points).count() == 400
+
+
 @pytest.mark.parametrize("block", [5, 1024])
 def test_silhouette(spark, monkeypatch, block):
     monkeypatch.setattr(cluster, "BLOCK", block)
