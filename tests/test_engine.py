@@ -105,6 +105,57 @@ def test_leader_clusters_keep_their_invariants(spark):
     assert cluster.leader_clusters(spark.createDataFrame([], "seq long, tag string, vec array<double>")).count() == 0
 
 
+def plain_leaders(pool, affinity, least, every):
+    """Clusters [count, {tag: n}] before they merge, every closeness by itself."""
+    unit = {t: [x / math.hypot(*v) for x in v] for _, t, v in pool}
+    center = lambda c: max(c, key=c.get)
+    clusters, taken = [{pool[0][1]: 1}], 0
+    for _, tag, _ in pool:
+        near = [1.0 if tag in c else sum(x * y for x, y in zip(unit[center(c)], unit[tag])) for c in clusters]
+        top = near.index(max(near)) if near else -1
+        if near and near[top] > affinity:
+            clusters[top][tag] = clusters[top].get(tag, 0) + 1
+        else:
+            clusters.append({tag: 1})
+        taken += 1
+        if taken % every == 0:
+            clusters, least = [c for c in clusters if sum(c.values()) > least], least + 1
+    return [c for c in clusters if sum(c.values()) > least]
+
+
+def test_leader_clusters_keep_their_centers(spark, monkeypatch):
+    rng = random.Random(8)
+    names = {f"t{i}": [rng.gauss(0, 1) for _ in range(6)] for i in range(300)}
+    pool = [(i, t, names[t]) for i, t in enumerate(rng.choice(list(names)) for _ in range(1500))]
+    monkeypatch.setattr(cluster, "_merge", lambda clusters, *_: clusters)
+    df = spark.createDataFrame(pool, "seq long, tag string, vec array<double>").coalesce(1)
+    grown = {}
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *_: type("G", (), {"applyInPandas": lambda _, f, schema: grown.update(out=f(self.toPandas()))})())
+    cluster.leader_clusters(df, 0.6, 1, 200)
+    monkeypatch.undo()
+    want = plain_leaders(pool, 0.6, 1, 200)
+    assert len(want) > 5 and sorted((c, k, sorted(t)) for c, k, t in zip(grown["out"]["count"], grown["out"]["center"], grown["out"]["tags"])) == sorted((sum(c.values()), max(c, key=c.get), sorted(c)) for c in want)
+
+
+def test_clusters_merge_piece_by_piece(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = {f"t{i}": v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(200, 4)) + 2 * rng.normal(size=(8, 4))[np.arange(200) % 8])}
+
+    def merged():
+        clusters = []
+        for k in range(20):
+            clusters.append(cluster._Cluster())
+            for t in list(vectors)[k::20]:
+                clusters[-1].add(t)
+        return [(c.count, c.center(), list(c.tags)) for c in cluster._merge(clusters, vectors, 0.6)]
+
+    want = merged()
+    monkeypatch.setattr(cluster, "PRODUCTS", 7)
+    assert merged() == want and 1 < len(want) < 20
+
+
 def test_dbscan(spark):
     pts = [(i, [float(i % 3) * 0.1, 0.0]) for i in range(6)] + [(10 + i, [5.0 + 0.1 * i, 5.0]) for i in range(4)] + [(99, [50.0, 50.0])]
     got = {r.id: r.label for r in cluster.dbscan(spark.createDataFrame(pts, "id long, vec array<double>"), 0.5, 3).collect()}
