@@ -16,28 +16,29 @@ from .words import top_words
 OTHERS = 0
 
 
-def burst_text(bursts: DataFrame, reviews: DataFrame) -> DataFrame:
+def burst_text(bursts: DataFrame, reviews: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(key, head, text): the texts of reviews(key, bucket, pos, text) in the bucket of each of bursts(key, head, bucket), a line each.
 
-    Bursts without reviews have no row.
+    Bursts without reviews have no row.  reviews may be a function that makes those of the bursts, so that other texts stay where they are.
     """
-    met = reviews.join(bursts.select("key", "bucket", "head"), ["key", "bucket"])
+    met = (reviews(bursts) if callable(reviews) else reviews).join(bursts.select("key", "bucket", "head"), ["key", "bucket"])
     return ordered_text(met, ["key", "head"], "pos")
 
 
-def census(series: DataFrame, reviews: DataFrame, words: Column, keep: Callable[[Column], Column], vectors: DataFrame, clusters: DataFrame, bh: int = 3, min_y: int = 100, k: int = 5, least: float = 0.7, grain: str = "day") -> DataFrame:
+def census(series: DataFrame, reviews: DataFrame | Callable[[DataFrame], DataFrame], words: Column, keep: Callable[[Column], Column], vectors: DataFrame | Callable[[DataFrame], DataFrame], clusters: DataFrame, bh: int = 3, min_y: int = 100, k: int = 5, least: float = 0.7, grain: str = "day") -> DataFrame:
     """A row a burst: (key, flag, start_date, end_date, center, reviews_count, tags, clusters).
 
     Bursts are the heads of a series' peaks with room on both sides, numbered from 1 in order; tags are the first k of `words`
     (an expression over the column text) that keep holds for, of the text of its center; clusters(num, center) are what its tags with a vector
     vote for, (0, others) without a vote.  A burst without text has no tags.
+    vectors(word, vec) may be a function that gives rows with a word their vec.
     """
     heads = S.select_bursts(S.peak_heads(series, bh=bh), min_y)
     bursts = S.extents(heads, series).withColumn("flag", F.row_number().over(Window.partitionBy("key").orderBy("head")).cast("long"))
     texts = burst_text(bursts, reviews).select(F.struct("key", "head").alias("doc_id"), "text")
     found = top_words(texts, words, k, keep)
     tags = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("tags"))
-    voted = cluster.classify(found.join(vectors, "word").select("doc_id", F.col("word").alias("tag"), "vec"), clusters, least=least)
+    voted = cluster.classify((vectors(found) if callable(vectors) else found.join(vectors, "word")).select("doc_id", F.col("word").alias("tag"), "vec"), clusters, least=least)
     told = tags.join(voted, "doc_id", "left").select("doc_id.key", "doc_id.head", "tags", "clusters")
     when = lambda c: F.expr(f"timestampadd({grain}, cast(`{c}` - head as int), bucket)")
     others = F.array(F.struct(F.lit(0).cast("long").alias("num"), F.lit("others").alias("center")))

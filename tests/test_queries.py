@@ -86,3 +86,13 @@ def test_texts_are_moved_and_never_their_words(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"doc_id"} and len(keys) <= 1 + (name == "tag_pool") and plan.count(r"\p{L}+|\p{N}+") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+@pytest.mark.parametrize("name", ("breakout_day_text", "census", "influence_tag_clusters"))
+def test_documents_stay_where_they_are(spark, name):
+    from pulsespark.plans import census_queries
+
+    plan = (census_queries.census if "census" in name else QUERIES[name])(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    texts = plan.count("coalesce(text#")
+    assert texts and plan.count("rightHint=(strategy=broadcast)") + plan.count("leftHint=(strategy=broadcast)") > texts
