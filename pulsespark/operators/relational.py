@@ -19,8 +19,13 @@ def flatten_playlists(playlists: DataFrame, most: int = 400) -> dict[str, DataFr
 
 def tagged_tracks(playlists: DataFrame) -> DataFrame:
     """Distinct (track_id, tag, user_id, playlist_id) of playlists(id, tags, user_id, tracks); empty tag lists give nothing."""
-    tags = playlists.where(F.size("tags") > 0).select(F.explode("tags").alias("tag"), "user_id", F.col("id").alias("playlist_id"), "tracks")
-    return tags.select(F.explode("tracks").alias("track_id"), "tag", "user_id", "playlist_id").distinct()
+    lists = F.struct(F.array_sort(F.array_distinct("tags")).alias("tags"), F.array_sort(F.array_distinct("tracks")).alias("tracks"))
+    # rows of a playlist meet as lists, not as tracks times tags; most have one
+    met = playlists.where((F.size("tags") > 0) & (F.size("tracks") > 0)).groupBy("user_id", F.col("id").alias("playlist_id")).agg(F.collect_set(lists).alias("l"))
+    each = met.select("user_id", "playlist_id", "l", F.explode(F.array_distinct(F.flatten("l.tracks"))).alias("track_id"))
+    of = F.filter("l", lambda x: F.exists(x["tracks"], lambda t: t.eqNullSafe(F.col("track_id"))))
+    tags = F.when(F.size("l") == 1, F.get("l", F.lit(0))["tags"]).otherwise(F.array_distinct(F.flatten(F.transform(of, lambda x: x["tags"]))))
+    return each.select("track_id", F.explode(tags).alias("tag"), "user_id", "playlist_id")
 
 
 def track_playlists(bridge: DataFrame) -> DataFrame:

@@ -44,8 +44,11 @@ def _flatten(spark, d):
 
 
 def _tagged(spark, d):
-    flat = nested(spark, d).select("id", "tags", F.col("creator.userId").alias("user_id"), F.transform("tracks", lambda t: t["id"]).alias("tracks"))
-    return R.tagged_tracks(flat)
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey")
+    lists = lines.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("tags"), F.transform(F.collect_set("l_partkey"), lambda k: k.cast("string")).alias("tracks"))  # of nested() what is asked for
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
+    return R.tagged_tracks(orders.join(lists, "l_orderkey").select(F.col("l_orderkey").cast("string").alias("id"), "tags", "user_id", "tracks"))
 
 
 def _partners(spark, d):

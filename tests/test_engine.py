@@ -52,6 +52,15 @@ def test_lyrics(spark):
     assert [r.mark for r in one(spark, "a\nb", X.lyric_lines)] == [None, None]
 
 
+def test_tagged_tracks_meet_as_lists(spark):
+    rows = [("p", 1, ["a", "b", "a"], ["x", "y", "x"]), ("p", 1, ["c", "a"], ["y", "z"]), ("p", 2, ["a"], ["x"]), ("q", 1, [], ["x"]), ("q", None, ["a", None], ["x", None]), ("r", 1, None, ["x"])]
+    got = relational.tagged_tracks(spark.createDataFrame(rows, "id string, user_id long, tags array<string>, tracks array<string>"))
+    assert len(got.collect()) == got.distinct().count()
+    assert {tuple(r) for r in got.select("track_id", "tag", "user_id", "playlist_id").collect()} == {(t, g, u, p) for p, u, gs, ts in rows for g in gs or () for t in ts}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("track_id" in x for x in plan.split("\n") if "Exchange" in x)
+
+
 def test_top_words_ties_by_first_sight(spark):
     docs = spark.createDataFrame([(1, "b a b a c"), (2, "")], "doc_id long, text string")
     got = words.top_words(docs, X.tokens(F.col("text")), 2).orderBy("rank").collect()
