@@ -33,11 +33,20 @@ def track_playlists(bridge: DataFrame) -> DataFrame:
     return bridge.distinct().groupBy("track_id").agg(F.sort_array(F.collect_list("playlist_id")).alias("playlist_ids"))
 
 
+#: Rows of a bridge to a part, whose pairs a task counts in memory.
+PART = 250_000
+
+
 def co_playlist_partners(bridge: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(track_id, partner, n): the tracks that share playlists with those of tracks(track_id), with how many."""
+    """(track_id, partner, n): the tracks that share playlists with those of tracks(track_id), with how many.
+
+    Pairs are dealt to as many parts as the rows ask for, so that a task's memory does not grow with them.
+    """
+    parts = max(bridge.count() // PART + 1, bridge.sparkSession.sparkContext.defaultParallelism)
     b = bridge.distinct()
     mine = b.join(tracks.select("track_id").distinct(), "track_id", "left_semi")
-    return mine.join(b.withColumnRenamed("track_id", "partner"), "playlist_id").groupBy("track_id", "partner").agg(F.count("*").alias("n"))
+    met = mine.join(b.withColumnRenamed("track_id", "partner"), "playlist_id").select("track_id", "partner")
+    return met.repartition(parts, "track_id", "partner").groupBy("track_id", "partner").agg(F.count("*").alias("n"))
 
 
 def genres(rows: DataFrame, tagged: DataFrame) -> DataFrame:

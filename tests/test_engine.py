@@ -61,6 +61,23 @@ def test_tagged_tracks_meet_as_lists(spark):
     assert not any("track_id" in x for x in plan.split("\n") if "Exchange" in x)
 
 
+def test_partners_are_dealt_by_the_rows(spark, monkeypatch):
+    rows = [(i % 40, (i * i) % 23) for i in range(600)] * 2 + [(None, 1), (3, None)]
+    bridge, tracks = spark.createDataFrame(rows, "playlist_id long, track_id long"), spark.createDataFrame([(t,) for t in range(0, 23, 2)], "track_id long")
+    monkeypatch.setattr(relational, "PART", 100)
+    got = relational.co_playlist_partners(bridge, tracks)
+    held = {}
+    for p, t in {r for r in rows if r[0] is not None and r[1] is not None}:
+        held.setdefault(p, set()).add(t)
+    want = {}
+    for ts in held.values():
+        for a, b in itertools.product(ts, ts):
+            if a % 2 == 0:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.track_id, r.partner): r.n for r in got.where("partner is not null").collect()} == want
+    assert ", 13), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_words_ties_by_first_sight(spark):
     docs = spark.createDataFrame([(1, "b a b a c"), (2, "")], "doc_id long, text string")
     got = words.top_words(docs, X.tokens(F.col("text")), 2).orderBy("rank").collect()
